@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import langid, simhash, toxicity
+from shardloom.llm import langid, packing, simhash, toxicity
 from shardloom.llm.common import crc_mod, table
 
 
@@ -38,10 +38,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def vocabulary() -> str:
+    """Place of the packing query's vocabulary file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
 }
 
 ORACLE: dict[str, str] = {}
