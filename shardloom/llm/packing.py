@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm.common import checkpointed
-from shardloom.llm.tokens import words
+from shardloom.llm.tokens import grouped, words
 
 WINDOW = 4096
 OPEN = 32
@@ -130,11 +130,12 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, open_windows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, kind = TaskContext.get().partitionId(), 0, None
-        encode, packer = words(vocabulary).encode, Packer(window, open_windows)
+        encode, packer = words(vocabulary).encode_many, Packer(window, open_windows)
         for b in batches:
             kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(doc, encode(text.as_py() or "") + end)
+            ids = (i for part in grouped([t or "" for t in b.column(1).to_pylist()]) for i in encode(part))
+            for doc, own in zip(b.column(0).to_pylist(), ids, strict=True):
+                packer.add(doc, own + end)
                 if len(packer.done) >= 512:
                     yield _batch(kind, id_col, list(enumerate(packer.done, (task << 32) + n)), with_ids, None)
                     n += len(packer.done)

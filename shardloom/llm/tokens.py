@@ -70,18 +70,36 @@ class WordCache:
             return out
         return _WORD.findall(text.lower())
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words that are new in any of them are learned together."""
+        cut = [None if any(s in t for s in self.special) else self._words(t) for t in texts]
+        new = set().union(*(w for w in cut if w is not None)).difference(self.known)
+        if new:
+            before = len(self.known)
+            self._learn(new)
+            if len(self.known) < before:  # it started afresh
+                self._learn(set().union(*(w for w in cut if w is not None)))
+        known = self.known.__getitem__
+        return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, cut, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self._words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn({w for w in words if w not in self.known})
-        if all(w in self.known for w in set(words)):
-            return b"".join(map(self.known.__getitem__, words))
-        self._learn(set(words))  # the cache started afresh
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_many([text])[0]
+
+
+def grouped(texts: list[str], most: int = 1 << 17) -> list[list[str]]:
+    """Runs of texts of about ``most`` characters at most together (a longer text is alone)."""
+    out: list[list[str]] = []
+    size = 0
+    for t in texts:
+        if not out or size + len(t) > most:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t)
+    return out
 
 
 @cache
