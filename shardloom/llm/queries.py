@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, langid, packing, simhash, toxicity
+from shardloom.llm import decontaminate, langid, media, packing, simhash, toxicity
 from shardloom.llm.common import crc_mod, table
 
 
@@ -31,6 +31,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and sniffed features of every document's text stored as 8-bit samples."""
+    return media.stored_digest(media.text_media(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +92,7 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.do
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op5_media": op5_media,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
