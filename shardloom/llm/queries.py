@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, langid, media, packing, simhash, toxicity
+from shardloom.llm import decontaminate, langid, media, packing, simhash, toxicity, urlfilter
 from shardloom.llm.common import crc_mod, table
 
 
@@ -36,6 +36,20 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digest(media.text_media(table(spark, sf_dir, "documents")))
 
 
+URL_RULES = [
+    urlfilter.Rule("com", "/en/", "block"),
+    urlfilter.Rule("example.com", "/en/7", "allow"),
+    urlfilter.Rule("net", "/de/", "allow"),
+    urlfilter.Rule("example.net", "/de/8", "block"),
+    urlfilter.Rule("org", "/es/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -93,6 +107,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op5_media": op5_media,
+    "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
