@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, langid, media, packing, simhash, toxicity, urlfilter
+from shardloom.llm import decontaminate, html, langid, media, packing, simhash, toxicity, urlfilter
 from shardloom.llm.common import crc_mod, table
 
 
@@ -36,6 +36,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_digest(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 URL_RULES = [
     urlfilter.Rule("com", "/en/", "block"),
     urlfilter.Rule("example.com", "/en/7", "allow"),
@@ -107,6 +112,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op5_media": op5_media,
+    "op6_html": op6_html,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
