@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import decontaminate, html, langid, media, packing, simhash, toxicity, urlfilter
+from shardloom.llm import decontaminate, html, langid, licenses, linededup, media, packing, simhash, toxicity, urlfilter
 from shardloom.llm.common import crc_mod, table
+from shardloom.llm.license_texts import TEMPLATES
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated chunks, and what was removed, of every document."""
+    out = linededup.deduplicate(table(spark, sf_dir, "documents"))
+    units = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_runs"), units.alias("n_units"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, word_start, word_end, matched, coverage of every match in every document."""
+    return licenses.license_matches(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and sniffed features of every document's text stored as 8-bit samples."""
     return media.stored_digest(media.text_media(table(spark, sf_dir, "documents")))
@@ -111,6 +124,8 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.do
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_media": op5_media,
     "op6_html": op6_html,
     "op7_url_filter": op7_url_filter,
