@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +12,28 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table; only Spark's readers touch the path."""
+    name_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def name_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster without that path, pass the package with ``--py-files``.
+    """
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), home])
+
+
 def ready_checkpoints(spark: SparkSession) -> None:
     """Make sure ``DataFrame.checkpoint`` has a folder.
 
     ``spark.checkpoint.dir`` wins. Where it is unset, a cluster gets a folder
     in its (shared) warehouse and a local session a temporary folder.
     """
+    name_package(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
