@@ -80,25 +80,32 @@ def _encoder(features: np.ndarray):
     return run
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights (already times the ratios) and bias, by Adam over all rows."""
-    col = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    # long texts hold more features: scale rows softly so that none dominates the fit
-    val = ratio[col]
+def _logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, penalty: float = 1e-4, steps: int = 150, chunk: int = 1000) -> tuple[np.ndarray, float]:
+    """Weights (already times the ratios) and bias, by Adam over all rows.
+
+    Rows are taken in chunks, so that besides their column numbers only a
+    chunk's values are held at once.
+    """
+    parts = [(slice(i, min(i + chunk, len(rows))), np.concatenate(rows[i : i + chunk]), np.array([len(r) for r in rows[i : i + chunk]])) for i in range(0, len(rows), chunk)]
+    rows.clear()
     w, b = np.zeros(len(ratio)), 0.0
     m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
     total = weight.sum()
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[col] * val, minlength=len(rows)) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / total
-        gw = np.bincount(col, weights=g[row] * val, minlength=len(ratio)) + penalty * w
-        gb = g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        lr = 0.02 / (1 + t / 200)
-        w -= lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= lr * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+        scaled = (w * ratio).astype(np.float32)
+        gw, gb = np.zeros(len(ratio)), 0.0
+        for own, col, n in parts:
+            ends = np.concatenate(([0], np.cumsum(scaled[col], dtype=np.float64)))[np.concatenate(([0], np.cumsum(n)))]
+            z = np.diff(ends) + b
+            g = weight[own] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / total
+            gw += np.bincount(col, weights=np.repeat(g, n), minlength=len(ratio))
+            gb += g.sum()
+        gw = gw * ratio + penalty * w
+        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        lr = 0.05 / (1 + t / 50)
+        w -= lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        b -= lr * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     return w * ratio, float(b)
 
 
@@ -118,22 +125,25 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     # the picked ids are bounded by the two limits, so they may be broadcast, and texts are never shuffled
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = checkpointed(texts.join(F.broadcast(pick), "id").select("text", "y").coalesce(12))
-    seen, n = np.zeros((2, 1 << BITS), dtype=np.int64), np.zeros(2)
+    seen, n = np.zeros((2, 1 << BITS), dtype=np.int32), np.zeros(2)
     for part in sample.mapInArrow(_counts, "seen binary, n0 long, n1 long").toLocalIterator():
         seen += np.frombuffer(zlib.decompress(part.seen), dtype=np.uint16).reshape(2, -1)
         n += (part.n0, part.n1)
     if not n.all():
         return Model(np.empty(0, dtype=np.int64), np.empty(0), 20.0 if n[1] else -20.0)
-    rate = seen / n[:, None]
-    pooled = (seen.sum(axis=0) + 1) / (n.sum() + 2)
-    z = (rate[1] - rate[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    features = np.nonzero((np.abs(z) > STANDS_OUT) & (seen.sum(axis=0) >= 3))[0]
+    some = np.nonzero(seen.sum(axis=0) >= 3)[0]
+    pooled = (seen[:, some].sum(axis=0) + 1) / (n.sum() + 2)
+    z = (seen[1, some] / n[1] - seen[0, some] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    features = some[np.abs(z) > STANDS_OUT]
     p, q = (seen[1, features] + SMOOTH), (seen[0, features] + SMOOTH)
     ratio = np.log(p / (n[1] + 2 * SMOOTH)) - np.log(q / (n[0] + 2 * SMOOTH))
-    got = sample.mapInArrow(_encoder(features), "x binary, y int").collect()
-    x = [np.frombuffer(r.x, dtype=np.int32) - 1 for r in got]
-    y = np.array([r.y for r in got], dtype=float)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    got = sample.mapInArrow(_encoder(features), "x binary, y int").toArrow()
+    x = [np.frombuffer(r.as_buffer(), dtype=np.int32) - 1 for r in got.column("x")]
+    y = got.column("y").to_numpy().astype(float)
+    del got
+    # the sample's classes weigh as in all labelled rows
+    whole = {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    weight = np.where(y == 1, whole[1] / max(1, y.sum()), whole[0] / max(1, (1 - y).sum()))
     w, b = _logistic(x, y, weight, ratio)
     return Model(features, w, b)
 
