@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group."""
-    return simhash.deduplicate(docs.select(COLUMNS), shingle=5)
+    """Keeps the document with the least id of each group of similar texts (five-word shingles, 0.8 or more)."""
+    return simhash.deduplicate(docs.select(COLUMNS), similarity=0.8, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,13 +12,21 @@ fewer differing bits. Links are found without comparing all pairs:
   chance meetings stay rare in large corpora.
 
 Rows that share a key meet in one sorted run; every candidate is verified by
-its exact distance, and a run passes on only a spanning forest of its links,
-never all pairs. Equal fingerprints are one node, however many texts have it.
+its exact distance, and a long run passes on only a spanning forest of its
+links, never all pairs. Equal fingerprints are one node, however many texts
+have it.
+
+Four bits of 64 find texts that differ in very few words. For groups by the
+similarity of their shingle sets (:func:`similar_groups`) the fingerprint has
+192 bits, of which eight segments of 23 bits are decoded; neighbouring segments
+make a key, so texts of similarity 0.8 meet in nine cases of ten and those of
+0.9 nearly always, and the distance over all bits estimates their similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,11 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of one key that a single task compares at most; larger runs are dealt out in blocks.
 RUN = 2048
+#: Runs of so many rows at most pass on all their links, longer ones a spanning forest.
+SHORT_RUN = 32
+#: 64-bit words of a wide fingerprint, and its segments of 23 bits.
+WORDS = 3
+WIDE_SEGMENTS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -100,47 +113,69 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows_of_keys(batches: Iterator[pa.RecordBatch], keys: Callable) -> Iterator[pa.RecordBatch]:
+    """(key, fp) rows of fingerprints; the first column is the node, all are handed to ``keys``."""
     for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False)
-        for i in range(0, len(fp), 4096):
-            part = fp[i : i + 4096]
-            r, k = keys_of(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(part[r], pa.int64())], names=["key", "fp"])
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        for i in range(0, b.num_rows, 2048):
+            part = [c[i : i + 2048] for c in cols]
+            r, k = keys(*(c.view(np.uint64) for c in part))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(part[0][r], pa.int64())], names=["key", "fp"])
 
 
-def _forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links of a run's fingerprints (distinct) that join its components."""
+def _forest(fp: np.ndarray, bits: int, sure: int) -> list[tuple[int, int]]:
+    """Links of a run's distinct fingerprints: a spanning forest of those of ``sure`` bits or
+    fewer, and all others of at most ``bits`` between its trees."""
     root = np.arange(len(fp))
     u = fp.view(np.uint64)
-    out = []
+    out, rest = [], []
     for i in range(len(fp) - 1):
-        near = np.nonzero(np.bitwise_count(u[i + 1 :] ^ u[i]) <= max_bits)[0] + i + 1
-        for j in near.tolist():
-            if root[i] != root[j]:
+        d = np.bitwise_count(u[i + 1 :] ^ u[i])
+        for j in (np.nonzero(d <= bits)[0] + i + 1).tolist():
+            if d[j - i - 1] > sure:
+                rest.append((i, j))
+            elif root[i] != root[j]:
                 root[root == root[j]] = root[i]
                 out.append((int(fp[i]), int(fp[j])))
-    return out
+    return out + [(int(fp[i]), int(fp[j])) for i, j in rest if root[i] != root[j]]
 
 
-def _linker(max_bits: int, run_rows: int):
+def _linker(bits: int, sure: int, run_rows: int):
     """Links among rows sorted by (key, fp); runs over ``run_rows`` pass through."""
 
     def batch(kind: int, rows: list[np.ndarray]) -> pa.RecordBatch:
         n = len(rows[0])
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *(pa.array(x, pa.int64()) for x in rows)], names=["kind", "a", "b"])
 
-    def runs(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def runs(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        short = size <= min(SHORT_RUN, run_rows)
+        k, f = key[short], fp[short]
+        found = []
+        for lag in range(1, int(size[short].max(initial=1))):
+            i = np.nonzero(k[lag:] == k[:-lag])[0]
+            i = i[np.bitwise_count(f[i].view(np.uint64) ^ f[i + lag].view(np.uint64)) <= bits]
+            if len(i):
+                found.append(np.stack([f[i], f[i + lag]]))
+        if found:
+            yield batch(0, list(np.unique(np.concatenate(found, axis=1), axis=1)))
+        k, f = key[~short], fp[~short]
+        if len(k):
+            starts = np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0]
+            edges = [e for s, t in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True) for e in _forest(f[s:t], bits, sure)]
+            if edges:
+                yield batch(0, list(np.array(edges, dtype=np.int64).T))
+
+    def whole(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
         starts = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
         sizes = np.diff(np.concatenate((starts, [len(key)])))
-        pairs = starts[sizes == 2]
-        near = np.bitwise_count(fp[pairs].view(np.uint64) ^ fp[pairs + 1].view(np.uint64))
-        pairs = pairs[near <= max_bits]
-        if len(pairs):
-            yield batch(0, [fp[pairs], fp[pairs + 1]])
-        edges = [e for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True) for e in _forest(fp[s : s + n], max_bits)]
-        if edges:
-            yield batch(0, list(np.array(edges, dtype=np.int64).T))
+        size = np.repeat(sizes, sizes)
+        if (long := size > run_rows).any():
+            yield batch(1, [key[long], fp[long]])
+        use = (size > 1) & ~long
+        if use.any():
+            yield from runs(key[use], fp[use], size[use])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int64)
@@ -167,32 +202,14 @@ def _linker(max_bits: int, run_rows: int):
                 key, fp = none, none
         yield from whole(key, fp)
 
-    def whole(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        starts = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-        sizes = np.diff(np.concatenate((starts, [len(key)])))
-        size = np.repeat(sizes, sizes)
-        if (long := size > run_rows).any():
-            yield batch(1, [key[long], fp[long]])
-        use = (size > 1) & ~long
-        if use.any():
-            yield from runs(key[use], fp[use])
-
     return link
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN) -> DataFrame:
-    """(a, b): links that join all components of distinct fingerprints (column fp).
-
-    Complete up to 4 differing bits. The rows are a spanning forest per key,
-    so their number follows the number of fingerprints, not its square.
-    """
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
-    rows = distinct.select("fp").mapInArrow(_key_rows, "key long, fp long")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(max_bits, run_rows), "kind int, a long, b long")
+def _meet(nodes: DataFrame, keys: Callable, bits: int, sure: int, run_rows: int) -> DataFrame:
+    """(a, b): links among nodes (first column, others are handed to ``keys``) that share a key."""
+    rows = nodes.mapInArrow(lambda batches: _rows_of_keys(batches, keys), "key long, fp long")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits, sure, run_rows), "kind int, a long, b long")
     met = checkpointed(met)
     found = met.where("kind = 0").select("a", "b")
     hot = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
@@ -205,13 +222,24 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN) ->
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
 
     def block(t: pa.Table) -> pa.Table:
-        e = _forest(np.unique(t.column("fp").to_numpy()), max_bits)
+        e = _forest(np.unique(t.column("fp").to_numpy()), bits, sure)
         return pa.table({"a": pa.array([p for p, _ in e], pa.int64()), "b": pa.array([q for _, q in e], pa.int64())})
 
     more = dealt.groupBy("key", "x", "y").applyInArrow(block, "a long, b long")
     return found.union(more)
 
 
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN) -> DataFrame:
+    """(a, b): links that join all components of distinct fingerprints (column fp).
+
+    Complete up to 4 differing bits. Long runs give a spanning forest, so the
+    rows follow the number of fingerprints, not its square.
+    """
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
+    return _meet(distinct.select("fp"), keys_of, max_bits, max_bits, run_rows)
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fp (long), component_id (least id reachable over links).
 
@@ -225,16 +253,106 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 4,
     comps = checkpointed(connected_components(links(firsts, max_bits)))
     least = comps.join(firsts, comps.node == firsts.fp).groupBy("root").agg(F.min("first").alias("component_id"))
     named = comps.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    every = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # cut here, so that both sides of the last join are plain exchanges and a frequent fingerprint is split
+    every = checkpointed(firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return marked.join(every, "fp").select(id_col, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate group.
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
+    """SimHash of ``WORDS`` 64-bit words over the set of a text's word shingles.
+
+    Words and short texts as in :func:`fingerprint`; no words: all zero.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return (0,) * WORDS
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        h = np.array([xxhash.xxh64_intdigest(joined)], dtype=np.uint64)
+    else:
+        ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1).tolist()
+        starts = [0, *(e + 1 for e in ends[:-shingle])]
+        digest = xxhash.xxh64_intdigest
+        h = np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype=np.uint64))
+    out = []
+    for k in range(WORDS):
+        g = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        g = (g ^ (g >> np.uint64(33))).astype(">u8")
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(g), 1 << 16):
+            ones += np.unpackbits(g[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(g)).tobytes(), "big"))
+    return tuple(out)
+
+
+def wide_keys(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, key): nearby codewords of each two neighbouring segments (the last's neighbour is the first)."""
+    codes = []
+    for s in range(WIDE_SEGMENTS):
+        w, at = divmod(s * golay.LENGTH, 64)
+        bits = words[w] >> np.uint64(at)
+        if at + golay.LENGTH > 64:
+            bits = bits | (words[w + 1] << np.uint64(64 - at))
+        seg = (bits & np.uint64((1 << golay.LENGTH) - 1)).astype(np.int64)
+        r, c = golay.nearby(seg, range(golay.LENGTH))
+        first = np.searchsorted(r, np.arange(len(seg)))
+        grid = np.full((len(seg), 6), -1, dtype=np.int64)  # a word has one or six codewords within distance four
+        grid[r, np.arange(len(r)) - first[r]] = c
+        codes.append(grid)
+    rows, keys = [], []
+    for s in range(WIDE_SEGMENTS):
+        a, b = codes[s][:, :, None], codes[(s + 1) % WIDE_SEGMENTS][:, None, :]
+        use = np.nonzero((a >= 0) & (b >= 0))
+        rows.append(use[0])
+        keys.append(((s << 24) | (a << 12) | b)[use])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def differing_share(similarity: float) -> float:
+    """Share of differing bits to expect of two shingle sets of this similarity and like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN) -> DataFrame:
+    """One row per input row: id, component_id (least id reachable over links of similar texts).
+
+    Texts link whose estimated similarity (shared part of their sets of word
+    shingles) is ``similarity`` or more: half a standard error beyond the
+    expected distance still counts. Nulls, copies and empty tables as in
+    :func:`near_duplicates`.
+    """
+    share = differing_share(similarity)
+    spread = lambda n: math.sqrt(n * share * (1 - share))
+    most, near = math.ceil(64 * WORDS * share + spread(64 * WORDS) / 2), math.ceil(64 * share + 2.5 * spread(64))
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))], names=[id_col, *names])
+
+    marked = checkpointed(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names)))
+    # texts that agree in the first word's 64 bits are one node; its other words stand for all of them
+    nodes = checkpointed(marked.groupBy("f0").agg(F.min(id_col).alias("first"), F.min(F.struct(*names[1:])).alias("w")).select("f0", "first", *[F.col(f"w.{n}").alias(n) for n in names[1:]]))
+    pairs = _meet(nodes.select(*names), wide_keys, near, 64 * WORDS // 32, run_rows).distinct()
+    a, b = nodes.select(*[F.col(n).alias(f"a_{n}") for n in names]), nodes.select(*[F.col(n).alias(f"b_{n}") for n in names])
+    both = pairs.join(a, pairs.a == a.a_f0).join(b, pairs.b == b.b_f0)
+    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    comps = checkpointed(connected_components(both.where(apart <= most).select("a", "b")))
+    least = comps.join(nodes, comps.node == nodes.f0).groupBy("root").agg(F.min("first").alias("component_id"))
+    named = comps.join(least, "root").select(F.col("node").alias("f0"), "component_id")
+    every = checkpointed(nodes.join(named, "f0", "left").select("f0", F.coalesce("component_id", "first").alias("component_id")))
+    return marked.join(every, "f0").select(id_col, "component_id")
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its group of similar texts.
 
     Rows with a null id stay only where their group has no id at all; rows
     that repeat an id and its group stay together with the first.
     """
-    groups = near_duplicates(docs, max_bits, shingle, id_col, text_col)
+    groups = similar_groups(docs, similarity, shingle, id_col, text_col)
     keep = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__keep")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")

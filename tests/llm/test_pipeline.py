@@ -1,7 +1,6 @@
 import random
 
 import corpus_pipeline
-from shardloom.llm import decontaminate, linededup, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -46,13 +45,13 @@ def test_stage_by_stage(spark, tmp_path):
     assert ids[1] == ids[0]
     after = {r.doc_id: r.text for r in seen[1][1].collect()}
     assert after[200] == after[201] == "" and after[202] is None and len(after[3]) > 100
-    # near copies: the least id of each brute-force group
-    fps = {d: simhash.fingerprint(t, 5) for d, t in after.items()}
-    want = {d for d in fps if not any(e < d and (fps[e] ^ fps[d]).bit_count() <= 4 for e in fps)}
+    # similar texts: the least id of each group by the exact similarity of shingle sets (here: copies and empties only)
+    shingles = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for d, w in ((d, (t or "").lower().split()) for d, t in after.items())}
+    same = lambda a, b: a == b or bool(a | b) and len(a & b) / len(a | b) >= 0.8
+    want = {d for d in shingles if not any(e < d and same(shingles[e], shingles[d]) for e in shingles)}
     assert set(ids[2]) == want
     assert set(ids[3]) == want - {204}
     assert {r.doc_id for r in seen[4][1].select("doc_id").collect()} == set(ids[3])
-    assert linededup and decontaminate
 
 
 def test_run_equals_the_stages(spark, tmp_path):

@@ -92,6 +92,47 @@ def test_components_of_a_long_chain_and_nulls(spark):
     assert all(out[i] == 0 for i in range(51)) and out[101] == 100 and len(out) == 53
 
 
+def jaccard(a, b, k=5):
+    a, b = (set(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = "".join(rng.choices("abcdef", k=6))
+    return " ".join(w)
+
+
+def test_similar_groups_against_jaccard(spark):
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for i in range(300):
+        text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.choice([60, 200, 400])))
+        near = edited(rng, text, rng.choice([1, 2, 3, 5, 20, 40]))
+        rows += [(2 * i, text, "c", "c"), (2 * i + 1, near, "c", "c")]
+        pairs.append((2 * i, 2 * i + 1, jaccard(text, near)))
+    rows += [(9000, None, "", ""), (9001, "", "", ""), (9002, "A b", "", ""), (9003, "a  B", "", ""), (9003, "a  B", "", ""), (9004, rows[0][1], "", ""), (9005, "q " * 50000, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for run_rows in (simhash.RUN, 4):
+        got = simhash.similar_groups(df, run_rows=run_rows).collect()
+        assert len(got) == len(rows)
+        root = {r.doc_id: r.component_id for r in got}
+        hit = {q: [(root[a] == root[b]) for a, b, j in pairs if lo <= j < hi] for q, lo, hi in (("high", 0.9, 2), ("near", 0.8, 0.9), ("low", 0, 0.5))}
+        assert sum(hit["high"]) >= 0.97 * len(hit["high"]) and sum(hit["near"]) >= 0.75 * len(hit["near"]) and sum(hit["low"]) == 0
+        assert root[9001] == 9000 and root[9003] == 9002 and root[9004] == 0 and root[9005] == 9005
+        assert all(root[a] in (a, root[b], b) for a, b, _ in pairs)
+
+
+def test_wide_keys_meet_for_small_distances():
+    rng = np.random.default_rng(3)
+    x = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(3)]
+    y = [w ^ np.uint64(1 << 5) ^ np.uint64(1 << 40) for w in x]
+    (ra, ka), (rb, kb) = simhash.wide_keys(*x), simhash.wide_keys(*y)
+    met = {r for r, _ in set(zip(ra.tolist(), ka.tolist(), strict=True)) & set(zip(rb.tolist(), kb.tolist(), strict=True))}
+    assert len(met) == 500
+
+
 def test_empty_and_dedup(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
