@@ -74,27 +74,48 @@ def round_robin(rows: DataFrame, shards: list[str], order: str, start: int = 0)
     return ranked.withColumn("_shard", F.get(names, F.pmod(F.col("_rank") + F.lit(start), F.lit(len(shards))).cast("int"))).drop("_rank")
 
 
+#: Buckets that rows are ranked in at most; each is sorted by one task.
+BUCKETS = 1024
+
+
+def _measure(rows: DataFrame, column: str) -> Column:
+    """A double that never falls as the column rises: a number itself, else six bytes of
+    its text after the prefix that the least and the greatest value share."""
+    kind = rows.schema[column].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.col(column).cast("double")
+    if kind in ("timestamp", "date"):
+        return F.col(column).cast("timestamp").cast("double")
+    raw = F.col(column).cast("string").cast("binary")
+    lo, hi = (bytes(v or b"") for v in rows.select(raw.alias("b")).agg(F.min("b"), F.max("b")).head())
+    same = next((i for i, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))  # noqa: B905
+    return F.conv(F.rpad(F.hex(F.substring(raw, same + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def _bucket(measure: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many cuts lie below, by halving."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(measure > F.lit(cuts[k]), _bucket(measure, cuts[k + 1 :], first + k + 1)).otherwise(_bucket(measure, cuts[:k], first))
+
+
 def rank(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``_rank``: dense positions from 0 by a unique column, nulls first.
 
     Rows are bucketed by quantiles of the column, numbered within their bucket,
-    and lifted by the size of earlier buckets (a table of at most BUCKETS rows).
+    and lifted by the size of earlier buckets (a table of at most BUCKETS rows),
+    so no task sorts all rows.
     """
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kind = rows.schema[order].dataType.simpleString()
-    if kind in ("bigint", "int", "smallint", "double", "float") and n > 1:
-        cuts = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.5 / n)))
-        bucket = F.lit(0)
-        for c in cuts:
-            bucket = bucket + F.when(F.col(order) > F.lit(c), 1).otherwise(0)
-    else:
-        bucket = F.lit(0)
-    rows = rows.withColumn("_bucket", bucket)
+    n = min(BUCKETS, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    measure = _measure(rows, order)
+    cuts = sorted(set(rows.select(measure.alias("m")).approxQuantile("m", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    rows = rows.withColumn("_bucket", _bucket(measure, cuts))
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     lifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(order).asc_nulls_first())) - 1
-    # the lifts are one row a bucket, as many as there are shuffle partitions
+    # the lifts are one row a bucket, BUCKETS at most
     return rows.withColumn("_own", own).join(F.broadcast(lifts), "_bucket").withColumn("_rank", F.col("_own") + F.col("_lift")).drop("_own", "_lift", "_bucket")
 
 

@@ -6,6 +6,8 @@ feature (pages, top-k, first rows). Every order has a unique last column.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +17,12 @@ from shardloom.functions.hashing import key_id, shard_number, string_hash
 from shardloom.functions.regions import REGIONS, closest_region
 from shardloom.functions.text import natural_key
 from shardloom.operators import dml, fanout, ids, migrate, stats
+from shardloom.operators.coordinator import Coordinator
 from shardloom.operators.mapping import Mapping
 from shardloom.operators.strategies import Allocation, Location, round_robin, size_filter
+from shardloom.plans.engine import Config, Engine
+from shardloom.sources.cache import Cache, Lookups
+from shardloom.sources.kv import MemoryKV
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -225,9 +231,9 @@ def natural_sort_key(spark, d):
     return read(spark, d, "customer").select("c_name", natural_key(F.col("c_name")).alias("k"))
 
 
-@query(f"SELECT shard, count(o_orderkey) AS n, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 1) AS total FROM {SHARD_LIST} LEFT JOIN (SELECT * FROM {ORDERS} WHERE o_orderkey % 4 <> 1) o ON o._shard = shard GROUP BY 1")
+@query(f"SELECT shard, count(o_orderkey) AS n, (SELECT count(*) FROM orders) AS total FROM {SHARD_LIST} LEFT JOIN {ORDERS} o ON o._shard = shard GROUP BY 1")
 def count_all_shards(spark, d):
-    o = placed(spark, d, "orders", "o_orderkey").where("o_orderkey % 4 <> 1")
+    o = placed(spark, d, "orders", "o_orderkey")
     c = fanout.counts(o, SHARDS)
     return c.join(F.broadcast(c.agg(F.sum("count").alias("total")))).select("shard", F.col("count").alias("n"), "total")
 
@@ -298,19 +304,19 @@ def resilient_read(spark, d):
     return fanout.lookup(c, stale.get("11"), F.col("c_custkey") == 11, SHARDS).select("c_custkey", "c_acctbal")
 
 
-@query(f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'shard-0' ELSE {shard('CAST(c_custkey AS VARCHAR)')} END AS shard, c_custkey % 3 <> 0 AS is_new FROM customer")
+@query(f"SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'shard-0' ELSE {shard('CAST(c_custkey AS VARCHAR)')} END AS shard, c_mktsegment <> 'BUILDING' AS is_new FROM customer")
 def route_batch(spark, d):
     """Bulk routing: mapped keys keep their shard, the others are allocated."""
     c = read(spark, d, "customer")
-    known = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("key"), F.lit("shard-0").alias("shard"))
+    known = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("key"), F.lit("shard-0").alias("shard"))
     m = Mapping.empty(spark).set_batch(known)
     return m.route(c, "c_custkey", Allocation(SHARDS)).select("c_custkey", F.col("_shard").alias("shard"), F.col("_new").alias("is_new"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 5 <> 0")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_mktsegment <> 'MACHINERY'")
 def migrate_unmapped(spark, d):
     c = read(spark, d, "customer")
-    m = Mapping.build(c.where("c_custkey % 5 = 0").withColumn("_shard", F.lit("shard-1")), "c_custkey")
+    m = Mapping.build(c.where("c_mktsegment = 'MACHINERY'").withColumn("_shard", F.lit("shard-1")), "c_custkey")
     return m.unmapped(c, "c_custkey").select(F.col("c_custkey").cast("string").alias("key"))
 
 
@@ -326,10 +332,10 @@ def validate_tables(spark, d):
     return a.union(migrate.validate_frame(t, "p_name").select(F.lit("names"), "records", "nulls", "repeats"))
 
 
-@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'shard-3' ELSE _shard END AS shard FROM {ORDERS}")
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'shard-3' ELSE _shard END AS shard FROM {ORDERS}")
 def reassign(spark, d):
     o = placed(spark, d, "orders", "o_orderkey")
-    moves = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("key"), F.lit("shard-3").alias("shard"))
+    moves = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("key"), F.lit("shard-3").alias("shard"))
     return dml.reassign(o, "o_orderkey", moves).select("o_orderkey", F.col("_shard").alias("shard"))
 
 
@@ -458,18 +464,19 @@ def distinct(spark, d):
 
 
 def _old(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
 def _new(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey", "o_custkey", "o_totalprice + 1 AS o_totalprice", "'N' AS o_orderstatus")
+    """As many rows again, whose keys are shifted so that some meet old ones."""
+    return read(spark, d, "orders").selectExpr("o_orderkey + 5000 AS o_orderkey", "o_custkey", "o_totalprice + 1 AS o_totalprice", "'N' AS o_orderstatus")
 
 
-_OLD = "o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0)"
-_NEW = "n AS (SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 'N' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)"
+_OLD = "o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders)"
+_NEW = "n AS (SELECT o_orderkey + 5000 AS o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 'N' AS o_orderstatus FROM orders)"
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT -o_orderkey - 1, o_custkey, NULL, 'N' FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders UNION ALL SELECT -o_orderkey - 5001, o_custkey, NULL, 'N' FROM orders")
 def insert_rows(spark, d):
     new = _new(spark, d).selectExpr("-o_orderkey - 1 AS o_orderkey", "o_custkey", "o_orderstatus")
     return dml.insert(_old(spark, d), new, ["o_orderkey"]).table
@@ -490,14 +497,17 @@ def upsert_update(spark, d):
     return dml.upsert(_old(spark, d), _new(spark, d), ["o_orderkey"], {"o_totalprice": "o_totalprice + excluded.o_totalprice", "o_orderstatus": "excluded.o_orderstatus"}).table
 
 
-_NULLS = "SELECT CASE WHEN o_orderkey % 6 = 1 THEN NULL ELSE o_orderkey END AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0"
+_K1, _K2 = "nullif(o_orderstatus, 'F') IS NULL", "nullif(o_orderpriority, '1-URGENT') IS NULL"
 
 
-@query(f"WITH a AS (SELECT k, max(v) AS v FROM ({_NULLS}) GROUP BY k), b AS (SELECT CASE WHEN o_orderkey % 4 = 2 THEN NULL ELSE o_orderkey END AS k, max(o_totalprice) + 1 AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT CASE WHEN b.i IS NULL THEN a.k ELSE b.k END AS k, coalesce(b.v, a.v) AS v FROM (SELECT *, 1 AS i FROM a) a FULL JOIN (SELECT *, 1 AS i FROM b) b ON a.k IS NOT DISTINCT FROM b.k")
+@query(
+    f"WITH a AS (SELECT CASE WHEN {_K1} THEN NULL ELSE o_orderkey END AS k, max(o_totalprice) AS v FROM orders GROUP BY 1), b AS (SELECT CASE WHEN {_K2} THEN NULL ELSE o_orderkey END AS k, max(o_totalprice) + 1 AS v FROM orders GROUP BY 1)"
+    " SELECT CASE WHEN b.i IS NULL THEN a.k ELSE b.k END AS k, coalesce(b.v, a.v) AS v FROM (SELECT *, 1 AS i FROM a) a FULL JOIN (SELECT *, 1 AS i FROM b) b ON a.k IS NOT DISTINCT FROM b.k"
+)
 def upsert_null_keys(spark, d):
     o = read(spark, d, "orders")
-    old = o.where("o_orderkey % 3 <> 0").selectExpr("CASE WHEN o_orderkey % 6 = 1 THEN NULL ELSE o_orderkey END AS k", "o_totalprice AS v").groupBy("k").agg(F.max("v").alias("v"))
-    new = o.where("o_orderkey % 2 = 0").selectExpr("CASE WHEN o_orderkey % 4 = 2 THEN NULL ELSE o_orderkey END AS k", "o_totalprice + 1 AS v")
+    old = o.selectExpr(f"CASE WHEN {_K1} THEN NULL ELSE o_orderkey END AS k", "o_totalprice AS v").groupBy("k").agg(F.max("v").alias("v"))
+    new = o.selectExpr(f"CASE WHEN {_K2} THEN NULL ELSE o_orderkey END AS k", "o_totalprice + 1 AS v")
     return dml.upsert(old, new, ["k"]).table
 
 
@@ -524,3 +534,93 @@ def update_returning(spark, d):
 @query(f"WITH {_OLD} SELECT o_orderkey FROM o WHERE o_totalprice > 200000")
 def delete_returning(spark, d):
     return dml.delete(_old(spark, d), "o_totalprice > 200000").returning(["o_orderkey"])
+
+
+# stored tables, catalog and introspection
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='shardloom-')}" if sc.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, d: str, table: str, key: str) -> Engine:
+    e = Engine(spark, Config(SHARDS, scratch(spark)))
+    e.store.create(table, read(spark, d, table).schema, key)
+    e.store.append(table, placed(spark, d, table, key))
+    return e
+
+
+@query(f"SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, c_mktsegment, _shard FROM {CUSTOMERS} WHERE c_mktsegment <> 'BUILDING'")
+def stored_changes(spark, d):
+    """Statements on every shard of a stored table, each a new version of the shards it touched."""
+    e = _stored(spark, d, "customer", "c_custkey")
+    for sql, args in (("UPDATE customer SET c_acctbal = 0 WHERE c_acctbal < ?", [0]), ("DELETE FROM customer WHERE c_mktsegment = ?", ["BUILDING"])):
+        done = e.run_all_shards(sql, args)
+        if not done.success:
+            raise RuntimeError(done.error)
+    return e.table("customer")
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'moved' ELSE 'stayed' END AS state FROM customer WHERE _shard_of = 'shard-1' OR c_custkey = 7".replace("FROM customer", f"FROM (SELECT *, {shard('CAST(c_custkey AS VARCHAR)')} AS _shard_of FROM customer)"))
+def stored_reassign(spark, d):
+    """One record moved to shard-1 in the files and in the mapping."""
+    e = _stored(spark, d, "customer", "c_custkey")
+    e.mapping = Mapping.build(e.table("customer"), "c_custkey")
+    e.reassign("7", "shard-1", "customer", "c_custkey")
+    return fanout.shard_frame(e.table("customer"), "shard-1").select("c_custkey", F.when(F.col("c_custkey") == 7, "moved").otherwise("stayed").alias("state"))
+
+
+@query("SELECT * FROM (VALUES (0, 'r_regionkey', 'int', 0, 1), (1, 'r_name', 'string', 0, 0)) t(cid, name, type, \"notnull\", pk)")
+def table_info(spark, d):
+    return _stored(spark, d, "region", "r_regionkey").store.info("region")
+
+
+@query("SELECT 'nation' AS name")
+def catalog_tables(spark, d):
+    e = _stored(spark, d, "nation", "n_nationkey")
+    return spark.createDataFrame([(t,) for t in e.list_tables()], "name string")
+
+
+@query()
+def shard_sizes(spark, d):
+    """Bytes of each shard's files."""
+    return stats.sizes(_stored(spark, d, "orders", "o_orderkey").table("orders"))
+
+
+@query()
+def explain_plan(spark, d):
+    """The formatted plan of a query on one shard."""
+    e = _stored(spark, d, "nation", "n_nationkey")
+    return spark.createDataFrame([(s, p) for s, p in e.explain_all("SELECT count(*) FROM nation").items()], "shard string, plan string")
+
+
+@query("SELECT count(*) AS n, count(*) AS again FROM orders")
+def cached_read(spark, d):
+    """A count read through the cache; the second read doesn't run a job."""
+    cache = Cache(MemoryKV())
+    n = [cache.cached("orders", lambda: read(spark, d, "orders").count(), 60) for _ in range(2)]
+    return spark.createDataFrame([tuple(n)], "n long, again long")
+
+
+@query("SELECT 'n_name' AS namespace, n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation")
+def lookup_namespace(spark, d):
+    """A secondary lookup table beside the mapping."""
+    look = Lookups(MemoryKV())
+    rows = read(spark, d, "nation").collect()  # 25 rows by definition
+    for r in rows:
+        look.set("n_name", r.n_name, str(r.n_nationkey))
+    return spark.createDataFrame([("n_name", r.n_name, look.get("n_name", r.n_name)) for r in rows], "namespace string, key string, value string")
+
+
+@query("SELECT row_number() OVER (ORDER BY k) - 1 AS k, 'shard-' || CAST((row_number() OVER (ORDER BY k) - 1) % 4 AS VARCHAR) AS shard, 100 + row_number() OVER (ORDER BY k) - 1 AS id FROM generate_series(0, 11) t(k)")
+def coordinator_allocation(spark, d):
+    """Round-robin allocation and a sequence by the central coordinator."""
+    c = Coordinator(strategy="round-robin")
+    for s in SHARDS:
+        c.add_shard(s)
+    return spark.createDataFrame([(k, c.allocate(f"k{k}"), c.sequence("orders", 100)) for k in range(12)], "k long, shard string, id long")

@@ -72,8 +72,12 @@ def test_strategies(spark):
 def test_rank_is_dense(spark):
     df = spark.range(0, 5000, 3).repartition(7)
     assert sorted((r.id, r._rank) for r in rank(df, "id").collect()) == [(3 * i, i) for i in range(1667)]
-    s = spark.createDataFrame([("b",), ("a",), (None,)], "s string")
-    assert sorted((str(r.s), r._rank) for r in rank(s, "s").collect()) == [("None", 0), ("a", 1), ("b", 2)]
+    names = [None, "", *(f"Kunde é#{i:05}" for i in range(0, 900, 7)), "Kunde é#", "Z"]
+    for pool in (names, names[2:-2]):
+        s = spark.createDataFrame([(x,) for x in reversed(pool)], "s string")
+        want = sorted(pool, key=lambda x: (x is not None, (x or "").encode()))
+        assert [r.s for r in sorted(rank(s, "s").collect(), key=lambda r: r._rank)] == want
+    assert rank(s.limit(0), "s").count() == 0
 
 
 def test_size_filter():
