@@ -6,6 +6,7 @@ all see the old row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,8 +60,8 @@ def last_of(new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
 def insert(old: DataFrame, new: DataFrame, keys: list[str], on_conflict: str = "abort", order: str | None = None) -> Change:
     """``abort``: refuse if any key is already there (nothing is inserted); ``replace``: new rows win;
     ``ignore``: old rows win. Null keys never conflict on abort, and equal each other otherwise."""
-    rows = _aligned(new.drop(order) if order and order not in old.columns else new, old) if on_conflict == "abort" else None
     if on_conflict == "abort":
+        rows = _aligned(new if order is None or order in old.columns else new.drop(order), old)
         twice = rows.dropna(subset=keys).groupBy(*keys).count().where("count > 1")
         if not rows.join(old.select(*keys), keys, "left_semi").isEmpty() or not twice.isEmpty():
             raise EngineError("Duplicate key", "CONSTRAINT_FAILED")
@@ -105,8 +106,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] |
 
 def _qualified(sql: str, columns: list[str]) -> str:
     """Bare column names mean the old row."""
-    import re
-
     return re.sub(r"(?<![\w.'`])(" + "|".join(map(re.escape, columns)) + r")(?![\w('`.])", r"o.\1", sql)
 
 

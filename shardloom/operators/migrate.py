@@ -23,7 +23,9 @@ def discover_keys(table: DataFrame, key: str = "id") -> DataFrame:
 
 def discover_records(table: DataFrame, key: str = "id") -> DataFrame:
     """Keys with whichever alias columns the table has."""
-    return discover_keys(table, key) if key not in table.columns else table.select(F.col(key).cast("string").alias("key"), *[a for a in ALIASES if a in table.columns and a != key])
+    if key not in table.columns:
+        raise EngineError(f"No column {key}", "DISCOVERY_FAILED")
+    return table.select(F.col(key).cast("string").alias("key"), *[a for a in ALIASES if a in table.columns and a != key])
 
 
 @dataclass
