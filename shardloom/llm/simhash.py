@@ -20,7 +20,8 @@ Four bits of 64 find texts that differ in very few words. For groups by the
 similarity of their shingle sets (:func:`similar_groups`) the fingerprint has
 192 bits, of which eight segments of 23 bits are decoded; neighbouring segments
 make a key, so texts of similarity 0.8 meet in nine cases of ten and those of
-0.9 nearly always, and the distance over all bits estimates their similarity.
+0.9 nearly always. The distance over all bits picks the candidates whose
+shingle sets are then compared exactly.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of one key that a single task compares at most; larger runs are dealt out in blocks.
 RUN = 2048
-#: Runs of so many rows at most pass on all their links, longer ones a spanning forest.
+#: Runs of so many rows at most are compared side by side.
 SHORT_RUN = 32
 #: 64-bit words of a wide fingerprint, and its segments of 23 bits.
 WORDS = 3
@@ -123,24 +124,32 @@ def _rows_of_keys(batches: Iterator[pa.RecordBatch], keys: Callable) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(part[0][r], pa.int64())], names=["key", "fp"])
 
 
-def _forest(fp: np.ndarray, bits: int, sure: int) -> list[tuple[int, int]]:
-    """Links of a run's distinct fingerprints: a spanning forest of those of ``sure`` bits or
-    fewer, and all others of at most ``bits`` between its trees."""
-    root = np.arange(len(fp))
+def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest, nearest first, of a run's distinct fingerprints of at most ``bits`` apart."""
     u = fp.view(np.uint64)
-    out, rest = [], []
+    found: list[np.ndarray] = []
     for i in range(len(fp) - 1):
         d = np.bitwise_count(u[i + 1 :] ^ u[i])
-        for j in (np.nonzero(d <= bits)[0] + i + 1).tolist():
-            if d[j - i - 1] > sure:
-                rest.append((i, j))
-            elif root[i] != root[j]:
-                root[root == root[j]] = root[i]
-                out.append((int(fp[i]), int(fp[j])))
-    return out + [(int(fp[i]), int(fp[j])) for i, j in rest if root[i] != root[j]]
-
-
-def _linker(bits: int, sure: int, run_rows: int):
+        j = np.nonzero(d <= bits)[0]
+        found.append(np.stack([d[j].astype(np.int64), np.full(len(j), i), j + i + 1]))
+    pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
+    root, out = list(range(len(fp))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in np.argsort(pairs[0], kind="stable").tolist():
+        i, j = int(pairs[1, k]), int(pairs[2, k])
+        if (x := find(i)) != (y := find(j)):
+            root[max(x, y)] = min(x, y)
+            out.append((int(fp[i]), int(fp[j])))
+    return out
+
+
+def _linker(bits: int, run_rows: int):
     """Links among rows sorted by (key, fp); runs over ``run_rows`` pass through."""
 
     def batch(kind: int, rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -148,22 +157,31 @@ def _linker(bits: int, sure: int, run_rows: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *(pa.array(x, pa.int64()) for x in rows)], names=["kind", "a", "b"])
 
     def runs(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # short runs side by side, one lag after another; a run with one link passes it on at once
         short = size <= min(SHORT_RUN, run_rows)
         k, f = key[short], fp[short]
-        found = []
+        starts = np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0] if len(k) else np.empty(0, dtype=np.int64)
+        met: list[np.ndarray] = []
         for lag in range(1, int(size[short].max(initial=1))):
             i = np.nonzero(k[lag:] == k[:-lag])[0]
             i = i[np.bitwise_count(f[i].view(np.uint64) ^ f[i + lag].view(np.uint64)) <= bits]
-            if len(i):
-                found.append(np.stack([f[i], f[i + lag]]))
-        if found:
-            yield batch(0, list(np.unique(np.concatenate(found, axis=1), axis=1)))
+            met.append(np.stack([i, i + lag]))
+        edges: list[tuple[int, int]] = []
+        if met:
+            pairs = np.concatenate(met, axis=1)
+            own = np.searchsorted(starts, pairs[0], side="right") - 1
+            many = np.bincount(own, minlength=len(starts)) > 1
+            one = pairs[:, ~many[own]]
+            if one.size:
+                yield batch(0, list(np.unique(f[one], axis=1)))
+            ends = np.concatenate((starts[1:], [len(k)]))
+            edges += [e for r in np.nonzero(many)[0].tolist() for e in _forest(f[starts[r] : ends[r]], bits)]
         k, f = key[~short], fp[~short]
         if len(k):
             starts = np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0]
-            edges = [e for s, t in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True) for e in _forest(f[s:t], bits, sure)]
-            if edges:
-                yield batch(0, list(np.array(edges, dtype=np.int64).T))
+            edges += [e for s, t in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True) for e in _forest(f[s:t], bits)]
+        if edges:
+            yield batch(0, list(np.unique(np.array(edges, dtype=np.int64).T, axis=1)))
 
     def whole(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
@@ -205,11 +223,11 @@ def _linker(bits: int, sure: int, run_rows: int):
     return link
 
 
-def _meet(nodes: DataFrame, keys: Callable, bits: int, sure: int, run_rows: int) -> DataFrame:
+def _meet(nodes: DataFrame, keys: Callable, bits: int, run_rows: int) -> DataFrame:
     """(a, b): links among nodes (first column, others are handed to ``keys``) that share a key."""
     rows = nodes.mapInArrow(lambda batches: _rows_of_keys(batches, keys), "key long, fp long")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits, sure, run_rows), "kind int, a long, b long")
+    met = rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits, run_rows), "kind int, a long, b long")
     met = checkpointed(met)
     found = met.where("kind = 0").select("a", "b")
     hot = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
@@ -222,7 +240,7 @@ def _meet(nodes: DataFrame, keys: Callable, bits: int, sure: int, run_rows: int)
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
 
     def block(t: pa.Table) -> pa.Table:
-        e = _forest(np.unique(t.column("fp").to_numpy()), bits, sure)
+        e = _forest(np.unique(t.column("fp").to_numpy()), bits)
         return pa.table({"a": pa.array([p for p, _ in e], pa.int64()), "b": pa.array([q for _, q in e], pa.int64())})
 
     more = dealt.groupBy("key", "x", "y").applyInArrow(block, "a long, b long")
@@ -237,7 +255,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_rows: int = RUN) ->
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
-    return _meet(distinct.select("fp"), keys_of, max_bits, max_bits, run_rows)
+    return _meet(distinct.select("fp"), keys_of, max_bits, run_rows)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,33 +332,76 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN) -> DataFrame:
-    """One row per input row: id, component_id (least id reachable over links of similar texts).
+def shingles(text: str | None, shingle: int = 5) -> set[bytes]:
+    """A text's set of word shingles (words and short texts as in :func:`fingerprint`)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
-    Texts link whose estimated similarity (shared part of their sets of word
-    shingles) is ``similarity`` or more: half a standard error beyond the
-    expected distance still counts. Nulls, copies and empty tables as in
-    :func:`near_duplicates`.
-    """
-    share = differing_share(similarity)
-    spread = lambda n: math.sqrt(n * share * (1 - share))
-    most, near = math.ceil(64 * WORDS * share + spread(64 * WORDS) / 2), math.ceil(64 * share + 2.5 * spread(64))
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def jaccard(a: set, b: set) -> float:
+    """Shared part of two sets; of two empty ones 1."""
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
+
+
+def _wide(docs: DataFrame, shingle: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+    """(id, f0, f1, f2[, text]) of every row."""
     names = [f"f{k}" for k in range(WORDS)]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))], names=[id_col, *names])
+            cols = [b.column(0), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(cols + [b.column(1)] * with_text, names=[id_col, *names] + ["text"] * with_text)
+
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", text string" * with_text
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    marked = checkpointed(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names)))
-    # texts that agree in the first word's 64 bits are one node; its other words stand for all of them
+
+def _verified(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, ta, tb) whose texts' shingle sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, keep = (None, set()), []
+            for x, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last[0] != x:
+                    last = (x, shingles(ta.as_py(), shingle))
+                keep.append(jaccard(last[1], shingles(tb.as_py(), shingle)) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN) -> DataFrame:
+    """One row per input row: id, component_id (least id reachable over links of similar texts).
+
+    Texts link whose sets of word shingles share ``similarity`` or more.
+    Candidates are those that share a key and whose distance is at most two and
+    a half standard errors beyond what that similarity lets expect; only the
+    texts of candidates are looked at again. Texts whose first 64 bits agree
+    are one node, of which the least id's text stands for all. Nulls, copies
+    and empty tables as in :func:`near_duplicates`.
+    """
+    share = differing_share(similarity)
+    limit = lambda n: math.ceil(n * share + 2.5 * math.sqrt(n * share * (1 - share)))
+    names = [f"f{k}" for k in range(WORDS)]
+    marked = checkpointed(_wide(docs, shingle, id_col, text_col, False))
     nodes = checkpointed(marked.groupBy("f0").agg(F.min(id_col).alias("first"), F.min(F.struct(*names[1:])).alias("w")).select("f0", "first", *[F.col(f"w.{n}").alias(n) for n in names[1:]]))
-    pairs = _meet(nodes.select(*names), wide_keys, near, 64 * WORDS // 32, run_rows).distinct()
+    pairs = _meet(nodes.select(*names), wide_keys, limit(64), run_rows).distinct()
     a, b = nodes.select(*[F.col(n).alias(f"a_{n}") for n in names]), nodes.select(*[F.col(n).alias(f"b_{n}") for n in names])
     both = pairs.join(a, pairs.a == a.a_f0).join(b, pairs.b == b.b_f0)
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    comps = checkpointed(connected_components(both.where(apart <= most).select("a", "b")))
+    near = checkpointed(both.where(apart <= limit(64 * WORDS)).select("a", "b"))
+    # the candidates' texts: a small part of the table, found by id
+    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    wanted = asked.join(nodes, asked.node == nodes.f0).select(F.col("first").alias("__first"), "node").where("__first is not null")
+    some = docs.select(id_col, text_col).join(wanted, docs[id_col] == F.col("__first"), "left_semi")
+    texts = checkpointed(_wide(some, shingle, id_col, text_col, True).groupBy(F.col("f0").alias("node")).agg(F.min(F.struct(id_col, "text")).alias("m")).select("node", F.col("m.text").alias("text")))
+    ta, tb = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")), texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
+    ready = near.join(ta, F.col("a") == F.col("na")).join(tb, F.col("b") == F.col("nb")).sortWithinPartitions("a")
+    comps = checkpointed(connected_components(checkpointed(_verified(ready, similarity, shingle))))
     least = comps.join(nodes, comps.node == nodes.f0).groupBy("root").agg(F.min("first").alias("component_id"))
     named = comps.join(least, "root").select(F.col("node").alias("f0"), "component_id")
     every = checkpointed(nodes.join(named, "f0", "left").select("f0", F.coalesce("component_id", "first").alias("component_id")))

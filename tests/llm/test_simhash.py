@@ -118,8 +118,10 @@ def test_similar_groups_against_jaccard(spark):
         got = simhash.similar_groups(df, run_rows=run_rows).collect()
         assert len(got) == len(rows)
         root = {r.doc_id: r.component_id for r in got}
-        hit = {q: [(root[a] == root[b]) for a, b, j in pairs if lo <= j < hi] for q, lo, hi in (("high", 0.9, 2), ("near", 0.8, 0.9), ("low", 0, 0.5))}
+        hit = {q: [(root[a] == root[b]) for a, b, j in pairs if lo <= j < hi] for q, lo, hi in (("high", 0.9, 2), ("near", 0.8, 0.9), ("low", 0, 0.8))}
         assert sum(hit["high"]) >= 0.97 * len(hit["high"]) and sum(hit["near"]) >= 0.75 * len(hit["near"]) and sum(hit["low"]) == 0
+        texts = {r[0]: r[1] for r in rows}
+        assert all(simhash.jaccard(simhash.shingles(texts[a]), simhash.shingles(texts[b])) == j for a, b, j in pairs)
         assert root[9001] == 9000 and root[9003] == 9002 and root[9004] == 0 and root[9005] == 9005
         assert all(root[a] in (a, root[b], b) for a, b, _ in pairs)
 
