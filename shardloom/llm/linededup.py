@@ -1,18 +1,24 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication over content-defined chunks of lines and shared spans of words.
 
-A text's lines are cut into units: a line, and in a long line each of its
-sentences, every unit with the white space that ends it, so that the units of
-a text make it up exactly. A rolling hash over the hashes of neighbouring
-units chooses chunk boundaries from content alone, so an insertion shifts no
+A text's units are its words, each with the white space behind it, so that the
+units make it up exactly. Its lines are cut into pieces: a line, and in a long
+line each of its sentences. A rolling hash over the hashes of neighbouring
+pieces chooses chunk boundaries from content alone, so an insertion shifts no
 boundary beyond its own chunk. A long line, and an empty one, also bounds
 chunks on both sides.
 
-Chunks of several units (or one long one) that occur more than once in the
-corpus are removed but for their first occurrence (least id, then place),
-after their bytes have been compared with it. A removal reaches on into the
-neighbour chunks as far as their units equal those beside the first occurrence,
-so that a passage goes whole, not only up to its outermost boundaries. Every
-removed unit equals one at an earlier place, so one copy always stays.
+Passages that hold no whole chunk are met by grams: of every ``SPAN`` words in a
+row the ``GRAM``-word gram with the least hash is kept, so two texts that share
+``SPAN`` words keep a gram in common, wherever lines and sentences end.
+
+Chunks of enough words, and grams, that occur more than once in the corpus are
+compared byte by byte with their first occurrence (least id, then place). Equal
+ones are removed, and a removal reaches on as far as the words equal those
+beside the first occurrence (of a chunk: into the neighbour chunks; of a gram:
+the words that its span can hold), so that a passage goes whole. A gram's
+removal must reach ``SPAN`` words, and less than ``GRAM`` words that chunks have
+left of it stay. Every removed word equals one at an earlier
+place, so one copy always stays. Grams of a single word repeated are left out.
 """
 
 from __future__ import annotations
@@ -23,22 +29,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardloom.llm.common import checkpointed
 
-#: Units that the rolling hash covers, and one in how many of its values ends a chunk.
+#: Pieces that the rolling hash covers, and one in how many of its values ends a chunk.
 ROLL = 2
 DIVISOR = 3
 #: A chunk of fewer words is never removed; a line of so many words is cut into sentences and bounds chunks.
 LEAST_WORDS = 12
 LONG_LINE = 40
+#: Shared spans of so many words are always met, by a gram of so many of them.
+SPAN = 50
+GRAM = 20
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?:\s+|$)|[.!?]+|$)", re.DOTALL)
+_UNIT = re.compile(r"\s*\S+\s*")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(text: str) -> tuple[list[str], list[bool]]:
-    """The units of a text, which join to it exactly, and whether each starts a bounded line."""
+def pieces(text: str) -> tuple[list[str], list[bool]]:
+    """The lines and sentences of a text, which join to it exactly, and whether each starts a bounded line."""
     out: list[str] = []
     edge: list[bool] = []
     after = False
@@ -56,11 +68,17 @@ def units(text: str) -> tuple[list[str], list[bool]]:
     return out, edge
 
 
+def units(text: str) -> tuple[list[str], list[bool]]:
+    """The words of a text with their white space, which join to it exactly, and whether each starts a line."""
+    us = _UNIT.findall(text) or [text] * bool(text)
+    return us, ([True] + ["\n" in u for u in us])[: len(us)]
+
+
 def bounds(us: list[str], edge: list[bool]) -> list[int]:
-    """First unit of every chunk, and the number of units."""
+    """First piece of every chunk, and the number of pieces."""
     if not us:
         return [0]
-    # a unit's hash leaves out its end, so that a passage at a text's end meets the same one inside another
+    # a piece's hash leaves out its end, so that a passage at a text's end meets the same one inside another
     h = [xxhash.xxh64_intdigest(u.strip().encode("utf-8", "surrogatepass")) for u in us]
     out = [0]
     for i in range(len(us) - 1):
@@ -73,142 +91,226 @@ def bounds(us: list[str], edge: list[bool]) -> list[int]:
 
 
 def chunks(text: str | None) -> Iterator[tuple[int, int, str]]:
-    """(first unit, number of units, text) of every chunk, in order."""
-    us, edge = units(text or "")
-    at = bounds(us, edge)
-    for a, b in zip(at, at[1:], strict=False):
-        yield a, b - a, "".join(us[a:b])
+    """(first unit, number of units, text) of every chunk, in order; blank lines go with the chunk before."""
+    ps, edge = pieces(text or "")
+    cuts = bounds(ps, edge)
+    at, n, body = 0, 0, ""
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = "".join(ps[a:b])
+        if (words := len(part.split())) and n:
+            yield at, n, body
+            at, n, body = at + n, 0, ""
+        n, body = n + words, body + part
+    if body:
+        yield at, n or 1, body
 
 
 def _eligible(n: int, body: str) -> bool:
-    words = len(body.split())
-    return (n > 1 and words >= LEAST_WORDS) or words >= LONG_LINE
+    return len(body.split()) >= LEAST_WORDS
+
+
+class _Hashes(dict):
+    """Hashes of words, kept for the words met last."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or greatest (``pick``) of every ``width`` neighbours."""
+    have, n = 1, len(x) - width + 1
+    while 2 * have <= width:
+        x = pick(x[:-have], x[have:])
+        have *= 2
+    return pick(x[:n], x[width - have : width - have + n])
+
+
+def grams(texts: list[list[str]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, second hash) of the grams that are kept: the least of every ``SPAN`` words in a row of a text."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    none = np.empty(0, dtype=np.int64)
+    if not len(sizes) or ends[-1] < SPAN:
+        return none, none, none, none
+    w = np.fromiter((hashes[x] for t in texts for x in t), dtype=np.uint64, count=int(ends[-1]))
+    n, width = len(w) - GRAM + 1, SPAN - GRAM + 1
+    h, h2 = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        h = (h ^ w[k : k + n]) * _MIX
+        h ^= h >> np.uint64(29)
+        h2 = h2 * _MIX + w[k : k + n]
+    changes = np.concatenate(([0], np.cumsum(w[1:] != w[:-1])))
+    h[changes[GRAM - 1 :] == changes[:n]] = np.iinfo(np.uint64).max
+    least = _sliding(h, width, np.minimum)
+    least[np.arange(len(least)) + SPAN > np.repeat(ends, sizes)[: len(least)]] = 0  # no span of one text
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    at = np.nonzero((_sliding(np.concatenate((edge, least, edge)), width, np.maximum) == h) & (h != 0) & (h != np.iinfo(np.uint64).max))[0]
+    text = np.searchsorted(ends, at, side="right")
+    return text, at - (ends - sizes)[text], h[at].view(np.int64), h2[at].view(np.int64)
 
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """(id, copy, at, n, hash, hash2) of every chunk that may be removed. ``docs`` has id, copy, text."""
+    """(id, copy, place, hash, hash2) of every chunk and gram that may be removed. ``docs`` has id, copy, text.
+
+    ``place`` holds the first word, the number of words and whether it is a gram, see :func:`_placed`.
+    """
 
-    def out(ids: pa.Array, copy: pa.Array, rows: list[list]) -> pa.RecordBatch:
+    def out(ids: pa.Array, copy: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
         take = pa.array(rows[0], pa.int64())
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([ids.take(take), copy.take(take), *(pa.array(v, t) for v, t in zip(rows[1:], kinds, strict=True))], names=["id", "copy", "at", "n", "hash", "hash2"])
+        return pa.RecordBatch.from_arrays([ids.take(take), copy.take(take), *(pa.array(v, pa.int64()) for v in rows[1:])], names=["id", "copy", "place", "hash", "hash2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for b in batches:
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in range(4)]
+            texts: list[list[str]] = []
+            first = size = 0
             for r, t in enumerate(b.column(2)):
-                for at, n, text in chunks(t.as_py()):
-                    body = text.strip()
+                text = t.as_py() or ""
+                for at, n, part in chunks(text):
+                    body = part.strip()
                     if _eligible(n, body):
                         d = xxhash.xxh128_intdigest(body.encode("utf-8", "surrogatepass"))
-                        for col, v in zip(rows, (r, at, n, (d >> 64) - (1 << 63), (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), strict=True):
+                        for col, v in zip(rows, (r, at << 32 | n << 1, (d >> 64) - (1 << 63), (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), strict=True):
                             col.append(v)
-                if len(rows[0]) >= 20000:
-                    yield out(b.column(0), b.column(1), rows)
-                    rows = [[] for _ in range(5)]
-            if rows[0]:
-                yield out(b.column(0), b.column(1), rows)
+                texts.append(text.split())
+                size += len(texts[-1])
+                if size >= 200_000 or r == b.num_rows - 1:
+                    k, at, h, h2 = grams(texts, hashes)
+                    met = (k + first, at << 32 | GRAM << 1 | 1, h, h2)
+                    yield out(b.column(0), b.column(1), [np.concatenate((np.array(v, dtype=np.int64), m)) for v, m in zip(rows, met, strict=True)])
+                    rows, texts, first, size = [[] for _ in range(4)], [], r + 1, 0
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, at int, n int, hash long, hash2 long")
+    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, place long, hash long, hash2 long")
+
+
+def _placed(place: int) -> tuple[int, int, bool]:
+    """First word, number of words, and whether it is a gram."""
+    return place >> 32, (place & 0xFFFFFFFF) >> 1, bool(place & 1)
+
+
+_MODEL = ["hash", "hash2", "body", "before", "after"]
 
 
-_OCCURRENCE = ["id", "copy", "hash", "hash2", "at", "n", "first", "body", "before", "after"]
+def _around(text: str, places: list[int]) -> Iterator[tuple[int, int, bool, str, list[str], list[str]]]:
+    """(first word, number of words, gram or not, text, words before from the nearest on, words after) of every place."""
+    bare, cs = text.split(), None
+    for x, n, gram in map(_placed, places):
+        y = x + n
+        if gram:
+            body, low, high = " ".join(bare[x:y]), max(0, x - SPAN + GRAM), y + SPAN - GRAM
+        else:
+            if cs is None:
+                cs = list(chunks(text))
+                at = {c[0]: k for k, c in enumerate(cs)}
+            k = at[x]
+            body, low, high = cs[k][2].strip(), cs[max(0, k - 1)][0], sum(cs[min(k + 1, len(cs) - 1)][:2])
+        yield x, n, gram, body, bare[low:x][::-1], bare[y:high]
 
 
-def _bodies(flagged: DataFrame) -> DataFrame:
-    """The repeated chunks with their text and the units beside them. ``flagged`` has id, copy, text, marks."""
-    kind = flagged.schema["id"].dataType.simpleString()
+def _models(firsts: DataFrame) -> DataFrame:
+    """The first occurrences with their text and the words beside them. ``firsts`` has text, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            id_type = b.column(0).type
-            rows: list[list] = [[] for _ in _OCCURRENCE]
-            for key, copy, text, marks in zip(*(b.column(i) for i in range(4)), strict=True):
-                us, edge = units(text.as_py() or "")
-                at = bounds(us, edge)
-                place = {a: k for k, a in enumerate(at)}
-                bare = [u.strip() for u in us]
-                for m in marks.as_py():
-                    k = place[m["at"]]
-                    before = bare[at[k - 1] : at[k]][::-1] if k else []
-                    after = bare[at[k + 1] : at[k + 2]] if k + 2 < len(at) else []
-                    body = "".join(us[at[k] : at[k + 1]]).strip()
-                    for col, v in zip(rows, (key.as_py(), copy.as_py(), m["hash"], m["hash2"], m["at"], m["n"], m["first"], body, before, after), strict=True):
+            rows: list[list] = [[] for _ in _MODEL]
+            for text, marks in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for m, (_, _, _, body, before, after) in zip(marks, _around(text.as_py() or "", [m["place"] for m in marks]), strict=True):
+                    for col, v in zip(rows, (m["hash"], m["hash2"], body, " ".join(before), " ".join(after)), strict=True):
                         col.append(v)
                 if len(rows[0]) >= 2000:
-                    yield out(id_type, rows)
-                    rows = [[] for _ in _OCCURRENCE]
+                    yield out(rows)
+                    rows = [[] for _ in _MODEL]
             if rows[0]:
-                yield out(id_type, rows)
+                yield out(rows)
 
-    def out(id_type: pa.DataType, rows: list[list]) -> pa.RecordBatch:
-        kinds = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=_OCCURRENCE)
+    def out(rows: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=_MODEL)
 
-    return flagged.select("id", "copy", "text", "marks").mapInArrow(run, f"id {kind}, copy long, hash long, hash2 long, at int, n int, first boolean, body string, before array<string>, after array<string>")
+    return firsts.select("text", "marks").mapInArrow(run, "hash long, hash2 long, body string, before string, after string")
 
 
-def _equal_run(a: str, b: str) -> Column:
-    """How many first elements of two arrays are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(same, False)
-    return F.when(stop == 0, F.size(same)).otherwise(stop - 1).cast("int")
+def _equal_run(a: list[str], b: list[str]) -> int:
+    """How many first elements of two lists are equal."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, copy, at, n): the runs of units to remove, by their first unit and number.
+    """(id, copy, again): of every text with repeats an array of (place, body, before, after).
 
-    ``copy`` is a hash of the text, so that rows sharing an id stay apart.
-    Chunks are counted by 128-bit hash with map-side combine. The joins on the
-    chunk have one row per repeated chunk on one side, so a chunk that a
+    ``place`` is that of a later occurrence in the text, the rest is the text of
+    its first occurrence and the words beside it, see :func:`cut`. ``copy`` is a
+    hash of the text, so that rows sharing an id stay apart.
+    Chunks and grams are counted by 128-bit hash with map-side combine. The joins
+    on them have one row per repeated chunk on one side, so a chunk that a
     third of all texts hold is split by AQE's skew handling on the other.
-    Only repeated chunks travel with their text.
+    Only first occurrences travel with their text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
     all_chunks = checkpointed(_chunk_rows(rows))
-    counts = all_chunks.groupBy("hash", "hash2").agg(F.count("*").alias("times"), F.min(F.struct("id", "copy", "at")).alias("place")).where("times > 1")
-    counts = checkpointed(counts.select("hash", "hash2", F.col("place.id").alias("id1"), F.col("place.copy").alias("copy1"), F.col("place.at").alias("at1")))
-    first = F.col("id").eqNullSafe(F.col("id1")) & (F.col("copy") == F.col("copy1")) & (F.col("at") == F.col("at1"))
-    marks = all_chunks.join(counts, ["hash", "hash2"]).groupBy("id", "copy").agg(F.collect_set(F.struct("at", "n", "hash", "hash2", first.alias("first"))).alias("marks"))
-    marks = marks.select(F.col("id").alias("id2"), F.col("copy").alias("copy2"), "marks")
-    once = rows.join(marks, rows.id.eqNullSafe(marks.id2) & (rows.copy == marks.copy2))
-    seen = checkpointed(_bodies(once))
-    model = seen.where("first").groupBy("hash", "hash2").agg(F.first(F.struct("body", "before", "after")).alias("m"))
-    model = model.select("hash", "hash2", F.col("m.body").alias("body1"), F.col("m.before").alias("before1"), F.col("m.after").alias("after1"))
-    same = seen.where("not first").join(model, ["hash", "hash2"]).where(F.col("body").cast("binary") == F.col("body1").cast("binary"))
-    back, on = _equal_run("before", "before1"), _equal_run("after", "after1")
-    return same.select("id", "copy", (F.col("at") - back).alias("at"), (F.col("n") + back + on).alias("n")).distinct()
+    often = all_chunks.groupBy("hash", "hash2").agg(F.count("*").alias("times")).where("times > 1").select("hash", "hash2")
+    some = checkpointed(all_chunks.join(often, ["hash", "hash2"]))
+    firsts = checkpointed(some.groupBy("hash", "hash2").agg(F.min(F.struct("id", "copy", "place")).alias("f")).select("hash", "hash2", F.col("f.id").alias("id1"), F.col("f.copy").alias("copy1"), F.col("f.place").alias("place1")))
+    marks = firsts.groupBy(F.col("id1").alias("id2"), F.col("copy1").alias("copy2")).agg(F.collect_list(F.struct("hash", "hash2", F.col("place1").alias("place"))).alias("marks"))
+    # rows that repeat id and text are one
+    model = _models(rows.join(marks, rows.id.eqNullSafe(marks.id2) & (rows.copy == marks.copy2))).dropDuplicates(["hash", "hash2"])
+    first = F.col("id").eqNullSafe(F.col("id1")) & (F.col("copy") == F.col("copy1")) & (F.col("place") == F.col("place1"))
+    later = some.join(firsts, ["hash", "hash2"]).where(~first).select("hash", "hash2", "id", "copy", "place").join(model, ["hash", "hash2"])
+    return later.groupBy("id", "copy").agg(F.collect_set(F.struct("place", "body", "before", "after")).alias("again"))
+
+
+def cut(text: str, again: list[dict]) -> tuple[str, list[dict]]:
+    """The text without its repeats, and the runs of words (at, n) that were removed."""
+    us, _ = units(text)
+    keep, more = np.ones(len(us), dtype=bool), np.zeros(len(us), dtype=bool)
+    for m, (at, n, gram, body, before, after) in zip(again, _around(text, [m["place"] for m in again]), strict=True):
+        if body == m["body"]:
+            x = at - _equal_run(before, m["before"].split())
+            y = at + n + _equal_run(after, m["after"].split())
+            if not gram:
+                keep[x:y] = False
+            elif y - x >= SPAN:
+                more[x:y] = True
+    for x, y in _runs(more & keep):
+        keep[x:y] = y - x < GRAM
+    gone = [{"at": x, "n": y - x} for x, y in _runs(~keep)]
+    return "".join(u for u, k in zip(us, keep, strict=True) if k).strip() if gone else text, gone
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every run of true elements."""
+    turn = np.nonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))[0].tolist()
+    return list(zip(turn[::2], turn[1::2], strict=True))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns and rows, with ``text_col`` less its repeated chunks, and a column removed.
+    """``docs``, all columns and rows, with ``text_col`` less its repeated passages, and a column removed.
 
-    ``removed`` is an array of (at, n): first unit and number of units. White
+    ``removed`` is an array of (at, n): first word and number of words of every run. White
     space left at the ends by a removal is trimmed; a text without a removal
     is unchanged to the byte. Null texts stay null, empty ones empty. Rows
     that repeat both id and text count as one occurrence and stay equal. A
     column that is already named removed is replaced.
     """
     docs = docs.drop("removed")
-    cut = repeated(docs, id_col, text_col).groupBy("id", "copy").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("removed"))
-    cut = cut.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "removed")
-    joined = docs.join(cut, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left").drop("__id", "__copy")
+    again = repeated(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "again")
+    joined = docs.join(again, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left").drop("__id", "__copy").withColumnRenamed("again", "removed")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone, texts = b.column(len(names)).to_pylist(), b.column(at).to_pylist()
-            for i, spans in enumerate(gone):
-                if spans:
-                    us, _ = units(texts[i])
-                    keep = np.ones(len(us), dtype=bool)
-                    for s in spans:
-                        keep[s["at"] : s["at"] + s["n"]] = False
-                    texts[i] = "".join(u for u, k in zip(us, keep, strict=True) if k).strip()
+            texts, gone = b.column(at).to_pylist(), [[]] * b.num_rows
+            for i, again in enumerate(b.column(len(names)).to_pylist()):
+                if again:
+                    texts[i], gone[i] = cut(texts[i], again)
             cols = list(b.columns)
             cols[at] = pa.array(texts, b.column(at).type)
-            cols[-1] = pa.array([g or [] for g in gone], b.column(len(names)).type)
+            cols[-1] = pa.array(gone, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "removed"])
 
-    return joined.mapInArrow(run, joined.schema)
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("n", T.IntegerType())))]))

@@ -80,3 +80,30 @@ def test_copies_repeated_rows_and_empty(spark):
     got = sorted((r.doc_id or 0, r.text) for r in linededup.deduplicate(df).collect())
     assert got[1] == got[2] == (1, t) and got[3] == (3, "")  # rows that repeat id and text are one occurrence
     assert linededup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_shared_spans_of_fifty_words_are_met_wherever_lines_end(spark):
+    rng = random.Random(12)
+    rows, passages = [], []
+    for i in range(120):
+        kind, ws = i % 3, words(rng, 50).split()
+        if kind == 0:  # inside a paragraph without stops
+            parts = [" ".join(ws)]
+        elif kind == 1:  # sentences inside a paragraph
+            parts = [" ".join(ws[k : k + 13]) + "." for k in range(0, 50, 13)]
+        else:  # short lines among other lines
+            parts = [" ".join(ws[k : k + 6]) for k in range(0, 50, 6)]
+        sep = "\n" if kind == 2 else " "
+        passages.append(sep.join(parts))
+        for d in (2 * i, 2 * i + 1):
+            own = [words(rng, rng.randrange(4, 9)) + "." * (kind == 1) for _ in range(16)]
+            rows.append((d, sep.join([*own[:8], passages[-1], *own[8:]]), sep.join(own)))
+    df = spark.createDataFrame([(d, t, "", "", "") for d, t, _ in rows], SCHEMA)
+    got = {r.doc_id: r for r in linededup.deduplicate(df).collect()}
+    for d, text, own in rows:
+        left, own = got[d].text.split(), own.split()
+        if d % 2:  # of the passage at most what a chunk's removal may leave
+            at = next((k for k, (x, y) in enumerate(zip(left, own, strict=False)) if x != y), len(own))
+            assert len(left) - len(own) < linededup.GRAM and left[:at] + left[at + len(left) - len(own) :] == own, d
+        else:
+            assert got[d].text == text
