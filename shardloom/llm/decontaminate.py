@@ -107,6 +107,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     empty texts have no words and no hits; rows that repeat are answered each;
     an empty benchmark hits nothing; other columns are not read.
     """
+    return _contamination(docs, items, span, gram, id_col, text_col, most_windows, most_bytes).drop("h")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, span: int, gram: int, id_col: str, text_col: str, most_windows: int = MOST_WINDOWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """What :func:`contamination` answers, and the hash h of each row's text."""
     windows, classes = benchmark_windows(items, span, gram)
     found = windows.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("win", " "))).alias("b")).collect()  # a row per length, span at most
     lengths = sorted(r.len for r in found)
@@ -114,7 +119,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     counted = docs.select("id", "h", F.size(words_of(F.col("text"))).alias("n_words"))
     if not lengths:
         none = F.array().cast("array<struct<at:int,len:int>>")
-        return counted.select(F.col("id").alias(id_col), F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), none.alias("hits"))
+        return counted.select("h", F.col("id").alias(id_col), F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), none.alias("hits"))
     texts = docs.select("id", "h", words_of(F.col("text")).alias("w"))
     if sum(r.n for r in found) <= most_windows and sum(r.b for r in found) <= most_bytes:
         met = _met(texts, F.broadcast(windows), lengths, span, gram, False)
@@ -140,10 +145,13 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     out = counted.join(both, counted.id.eqNullSafe(both.i2) & (counted.h == both.h2), "left")
     zero = F.lit(0).cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("id").alias(id_col), F.col("n_words").cast("long"), F.coalesce(F.col("n_hit").cast("long"), zero).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), F.coalesce("hits", F.array().cast("array<struct<at:int,len:int>>")).alias("hits"))
+    return out.select(counted.h, F.col("id").alias(id_col), F.col("n_words").cast("long"), F.coalesce(F.col("n_hit").cast("long"), zero).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), F.coalesce("hits", F.array().cast("array<struct<at:int,len:int>>")).alias("hits"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no window of any item."""
-    hit = contamination(docs, items, span, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows of ``docs``, all columns, whose text holds no window of any item.
+
+    Rows that share an id, or have none, are decided each by its own text.
+    """
+    hit = _contamination(docs, items, span, GRAM, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("__hit"), F.col("h").alias("__h")).distinct()
+    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__hit")) & (F.xxhash64(docs[text_col]) == F.col("__h")), "left_anti")

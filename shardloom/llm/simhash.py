@@ -345,18 +345,18 @@ def jaccard(a: set, b: set) -> float:
 
 
 def _wide(docs: DataFrame, shingle: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    """(id, f0, f1, f2[, text]) of every row."""
+    """(id, copy, f0, f1, f2[, text]) of every row; ``copy`` is a hash of the text, so that rows sharing an id stay apart."""
     names = [f"f{k}" for k in range(WORDS)]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            cols = [b.column(0), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))]
-            yield pa.RecordBatch.from_arrays(cols + [b.column(1)] * with_text, names=[id_col, *names] + ["text"] * with_text)
+            cols = [b.column(0), b.column(2), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(cols + [b.column(1)] * with_text, names=[id_col, "copy", *names] + ["text"] * with_text)
 
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", text string" * with_text
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"`{id_col}` {kind}, copy long, " + ", ".join(f"{n} long" for n in names) + ", text string" * with_text
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("copy")).mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -384,11 +384,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     are one node, of which the least id's text stands for all. Nulls, copies
     and empty tables as in :func:`near_duplicates`.
     """
+    return _groups(docs, similarity, shingle, id_col, text_col, run_rows).drop("copy")
+
+
+def _groups(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str, run_rows: int = RUN) -> DataFrame:
+    """What :func:`similar_groups` answers, and the hash copy of each row's text."""
     share = differing_share(similarity)
     limit = lambda n: math.ceil(n * share + 2.5 * math.sqrt(n * share * (1 - share)))
     names = [f"f{k}" for k in range(WORDS)]
     marked = checkpointed(_wide(docs, shingle, id_col, text_col, False))
-    nodes = checkpointed(marked.groupBy("f0").agg(F.min(id_col).alias("first"), F.min(F.struct(*names[1:])).alias("w")).select("f0", "first", *[F.col(f"w.{n}").alias(n) for n in names[1:]]))
+    least = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "copy")).alias("l")  # nulls last
+    nodes = checkpointed(marked.groupBy("f0").agg(least, F.min(F.struct(*names[1:])).alias("w")).select("f0", F.col("l.id").alias("first"), F.col("l.copy").alias("copy"), *[F.col(f"w.{n}").alias(n) for n in names[1:]]))
     pairs = _meet(nodes.select(*names), wide_keys, limit(64), run_rows).distinct()
     a, b = nodes.select(*[F.col(n).alias(f"a_{n}") for n in names]), nodes.select(*[F.col(n).alias(f"b_{n}") for n in names])
     both = pairs.join(a, pairs.a == a.a_f0).join(b, pairs.b == b.b_f0)
@@ -396,8 +402,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     near = checkpointed(both.where(apart <= limit(64 * WORDS)).select("a", "b"))
     # the candidates' texts: a small part of the table, found by id
     asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    wanted = asked.join(nodes, asked.node == nodes.f0).select(F.col("first").alias("__first"), "node").where("__first is not null")
-    some = docs.select(id_col, text_col).join(wanted, docs[id_col] == F.col("__first"), "left_semi")
+    wanted = asked.join(nodes, asked.node == nodes.f0).select(F.col("first").alias("__first"), F.col("copy").alias("__copy"))
+    some = docs.select(id_col, text_col).join(wanted, docs[id_col].eqNullSafe(F.col("__first")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left_semi")
     texts = checkpointed(_wide(some, shingle, id_col, text_col, True).groupBy(F.col("f0").alias("node")).agg(F.min(F.struct(id_col, "text")).alias("m")).select("node", F.col("m.text").alias("text")))
     ta, tb = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")), texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
     ready = near.join(ta, F.col("a") == F.col("na")).join(tb, F.col("b") == F.col("nb")).sortWithinPartitions("a")
@@ -405,15 +411,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     least = comps.join(nodes, comps.node == nodes.f0).groupBy("root").agg(F.min("first").alias("component_id"))
     named = comps.join(least, "root").select(F.col("node").alias("f0"), "component_id")
     every = checkpointed(nodes.join(named, "f0", "left").select("f0", F.coalesce("component_id", "first").alias("component_id")))
-    return marked.join(every, "f0").select(id_col, "component_id")
+    return marked.join(every, "f0").select(id_col, "copy", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group of similar texts.
 
     Rows with a null id stay only where their group has no id at all; rows
-    that repeat an id and its group stay together with the first.
+    that repeat an id and its group stay together with the first. Rows that
+    share an id are decided each by its own text's group.
     """
-    groups = similar_groups(docs, similarity, shingle, id_col, text_col)
-    keep = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+    groups = _groups(docs, similarity, shingle, id_col, text_col)
+    keep = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__keep"), F.col("copy").alias("__copy")).distinct()
+    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left_semi")

@@ -66,3 +66,11 @@ def test_main_path_has_no_python(spark):
     d = spark.createDataFrame([(*r, "c", "c", "c") for r in docs], DOC)
     plan = decontaminate.contamination(d, spark.createDataFrame([(*r, "c") for r in items], ITEM))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_each(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(None, f"x {item} y"), (None, "clean words without an id"), (7, f"{item} z"), (7, "clean words with a shared id"), (8, "clean too"), (None, None)]
+    d = spark.createDataFrame([(*r, "c", "c", "c") for r in docs], DOC)
+    got = decontaminate.drop_contaminated(d, spark.createDataFrame([(1, item, "c")], ITEM))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, (docs[1], docs[3], docs[4], docs[5]))) and got.columns == d.columns

@@ -141,3 +141,10 @@ def test_empty_and_dedup(spark):
     df = spark.createDataFrame([(5, "a b c d e f", "", ""), (2, "a b c d e f", "", ""), (9, "something else entirely here", "", ""), (None, "a b c d e f", "", "")], SCHEMA)
     out = simhash.deduplicate(df)
     assert sorted(r.doc_id for r in out.collect()) == [2, 9] and out.columns == df.columns
+
+
+def test_dedup_decides_rows_that_share_an_id_or_have_none_each(spark):
+    a, b, c = ("one two three four five six seven", "other words that stand in a second group", "a third text of no one's group at all")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c + " but much longer than it was before and so not alike")]
+    out = simhash.deduplicate(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, (rows[0], rows[2], rows[5], rows[6])))
