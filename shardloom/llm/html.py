@@ -1,8 +1,9 @@
 """Main text of HTML pages, with site template removal.
 
 Every element subtree of a page is hashed (tag, text and subtrees). Spark
-counts, per host, on how many pages each hash occurs; subtrees that recur on
-many of a host's pages are its template and are deleted. Of what is left, the
+counts, per host, on how many distinct pages each hash occurs (pages with the
+same article are one); subtrees that recur on many of a host's pages are its
+template and are deleted. Of what is left, the
 article's blocks are kept and parts that are furniture by their tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 are dropped.
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -164,6 +164,11 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     root = parse(page)
     if template:
         hash_subtrees(root)
+    return _article(root, template)
+
+
+def _article(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks of a parsed page, whose subtrees are hashed if there is a template."""
     # the outermost articles or mains that are left, else the whole page
     tops, todo = [], [root]
     while todo:
@@ -207,23 +212,29 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hash): subtrees on at least ``least_pages`` and ``share`` of a host's pages.
+    """(host, hash): subtrees on at least ``least_pages`` and ``share`` of a host's distinct pages.
 
-    Tasks count within each batch before anything is shuffled, so a host with
-    a third of all pages sends a row per distinct subtree, not per page.
+    Pages of a host whose text without furniture is the same are one page, however
+    often and with whatever around it they are given, so that an article's copies
+    do not make it a template. Repeats go within each batch and task before
+    anything is shuffled, and a host's rows are dealt by page and subtree.
     ``pages`` has host and html.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: set[tuple[str, int, int]] = set()
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen[host, 0] += 1
-                if (raw := page.as_py()) is not None:
-                    seen.update((host, h) for h in hash_subtrees(parse(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "hash", "n"])
-
-    counts = pages.select("host", "html").where("host != ''").mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+                root = parse(page.as_py() or "")
+                hashes = hash_subtrees(root)
+                own = xxhash.xxh64_intdigest(_article(root).encode("utf-8", "surrogatepass")) >> 1
+                seen.add((host, own, 0))
+                seen.update((host, own, h) for h in hashes)
+            rows = list(zip(*seen, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["host", "page", "hash"])
+
+    once = pages.select("host", "html").where("host != ''").mapInArrow(count, "host string, page long, hash long").distinct()
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = checkpointed(counts.where((F.col("n") >= least_pages) | (F.col("hash") == 0)))
     whole = counts.where("hash = 0").select(F.col("host").alias("h2"), F.col("n").alias("pages"))
     # one row a host on the right; a host's frequent subtrees on the left are few
@@ -235,7 +246,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     """id, url, text of every page, without its site's template.
 
     Null and empty html have empty text; pages without a host have no
-    template; repeated rows are answered each (and count as pages of their
+    template; repeated rows are answered each (and count as one page of their
     host); other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))

@@ -44,3 +44,16 @@ def test_templates_per_host(spark):
         want = sorted([(i, f"story {i}\n\nshared by two {i // 2}") for i in range(12)] + [(20 + i, "Welcome to A\n\nonly b") for i in range(2)] + [(30, "no url"), (31, ""), (31, "")])
         assert got == want
     assert extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><div><p>Welcome to C</p></div><article><h1>{0}</h1><p>story {0}</p><div>more {0}</div></article><footer>seen {1} times</footer></body>"
+    plain = "<body><div><p>Welcome to D</p></div><p>story {0}</p></body>"
+    rows = [(i, f"http://c.net/{i}", page.format(max(0, i - 30), i), "t") for i in range(40)]  # 31 copies, 9 others
+    rows += [(100 + i, f"http://d.net/{i}", plain.format(max(0, i - 8)), "t") for i in range(16)]
+    rows += [(200, "http://e.net/", plain.format("once"), "t")] * 5
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.text) for r in extract(df).collect())
+    story = lambda i: f"{i}\n\nstory {i}\n\nmore {i}"
+    want = [(i, story(max(0, i - 30))) for i in range(40)] + [(100 + i, f"story {max(0, i - 8)}") for i in range(16)] + [(200, "Welcome to D\n\nstory once")] * 5
+    assert got == want
