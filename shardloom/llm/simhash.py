@@ -45,6 +45,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RUN = 2048
 #: Runs of so many rows at most are compared side by side.
 SHORT_RUN = 32
+#: Nodes of an unsettled family that a task holds, with their texts, of either side of a comparison.
+BLOCK = 256
 #: 64-bit words of a wide fingerprint, and its segments of 23 bits.
 WORDS = 3
 WIDE_SEGMENTS = 8
@@ -374,20 +376,87 @@ def _verified(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ``asked``: a small part of the table, found by id and text hash."""
+    wanted = asked.join(nodes, asked.node == nodes.f0).select(F.col("first").alias("__first"), F.col("copy").alias("__copy"))
+    some = docs.select(id_col, text_col).join(wanted, docs[id_col].eqNullSafe(F.col("__first")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left_semi")
+    least = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "text")).alias("m")
+    return checkpointed(_wide(some, shingle, id_col, text_col, True).groupBy(F.col("f0").alias("node")).agg(least).select("node", F.col("m.text").alias("text")))
+
+
+def _unsettled(pairs: DataFrame, found: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """(family, x, y, own, f0, f1, f2, comp): nodes to compare again, dealt into pairs of blocks.
+
+    A family is what the candidates ``pairs`` connect. All pairs that met are
+    inside one, but a run passes on a forest only, so where the exact comparison
+    has left several components, pairs that were not passed on may join them.
+    In a family of two nothing was left out.
+    """
+    family, comps = connected_components(pairs), connected_components(found)
+    comps = comps.select(F.col("node").alias("n2"), F.col("root").alias("comp"))
+    named = checkpointed(family.join(comps, family.node == comps.n2, "left").select("node", F.col("root").alias("family"), F.coalesce("comp", "node").alias("comp")))
+    left = named.groupBy("family").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("n > 2 and c1 != c2")
+    left = left.select("family", F.ceil(F.col("n") / block).cast("int").alias("n"))
+    dealt = named.join(left, "family").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    dealt = dealt.join(nodes, dealt.node == nodes.f0)
+    return checkpointed(dealt.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *[f"f{k}" for k in range(WORDS)], "comp"))
+
+
+def _joined(dealt: DataFrame, texts: DataFrame, limit: int, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): links of similar texts that join components of the families in ``dealt``, a forest of each pair of blocks."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        f = [t.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WORDS)]
+        comp, own = t.column("comp").to_numpy(), t.column("own").to_numpy()
+        across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+        met: list[np.ndarray] = [np.empty((3, 0), dtype=np.int64)]
+        for i in range(len(comp) - 1):
+            d = sum(np.bitwise_count(w[i + 1 :] ^ w[i]).astype(np.int64) for w in f)
+            j = np.nonzero((d <= limit) & (comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (not across)))[0]
+            met.append(np.stack([d[j], np.full(len(j), i), j + i + 1]))
+        pairs = np.concatenate(met, axis=1)
+        root: dict[int, int] = {}
+        sets: dict[int, set] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def of(i: int) -> set:
+            if i not in sets:
+                sets[i] = shingles(t.column("text")[i].as_py(), shingle)
+            return sets[i]
+
+        a, b = [], []
+        for k in np.argsort(pairs[0], kind="stable").tolist():
+            i, j = int(pairs[1, k]), int(pairs[2, k])
+            if (u := find(int(comp[i]))) != (v := find(int(comp[j]))) and jaccard(of(i), of(j)) >= similarity:
+                root[max(u, v)] = min(u, v)
+                a.append(int(f[0].view(np.int64)[i]))
+                b.append(int(f[0].view(np.int64)[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(texts, dealt.f0 == texts.node).drop("node").groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN) -> DataFrame:
     """One row per input row: id, component_id (least id reachable over links of similar texts).
 
     Texts link whose sets of word shingles share ``similarity`` or more.
     Candidates are those that share a key and whose distance is at most two and
     a half standard errors beyond what that similarity lets expect; only the
-    texts of candidates are looked at again. Texts whose first 64 bits agree
+    texts of candidates are looked at again. Runs pass on forests of candidates;
+    where the exact comparison splits what they connect, all pairs between the
+    parts are looked at. Texts whose first 64 bits agree
     are one node, of which the least id's text stands for all. Nulls, copies
     and empty tables as in :func:`near_duplicates`.
     """
     return _groups(docs, similarity, shingle, id_col, text_col, run_rows).drop("copy")
 
 
-def _groups(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str, run_rows: int = RUN) -> DataFrame:
+def _groups(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str, run_rows: int = RUN, block: int = BLOCK) -> DataFrame:
     """What :func:`similar_groups` answers, and the hash copy of each row's text."""
     share = differing_share(similarity)
     limit = lambda n: math.ceil(n * share + 2.5 * math.sqrt(n * share * (1 - share)))
@@ -395,19 +464,19 @@ def _groups(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_
     marked = checkpointed(_wide(docs, shingle, id_col, text_col, False))
     least = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "copy")).alias("l")  # nulls last
     nodes = checkpointed(marked.groupBy("f0").agg(least, F.min(F.struct(*names[1:])).alias("w")).select("f0", F.col("l.id").alias("first"), F.col("l.copy").alias("copy"), *[F.col(f"w.{n}").alias(n) for n in names[1:]]))
-    pairs = _meet(nodes.select(*names), wide_keys, limit(64), run_rows).distinct()
+    pairs = checkpointed(_meet(nodes.select(*names), wide_keys, limit(64), run_rows).distinct())
     a, b = nodes.select(*[F.col(n).alias(f"a_{n}") for n in names]), nodes.select(*[F.col(n).alias(f"b_{n}") for n in names])
     both = pairs.join(a, pairs.a == a.a_f0).join(b, pairs.b == b.b_f0)
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     near = checkpointed(both.where(apart <= limit(64 * WORDS)).select("a", "b"))
-    # the candidates' texts: a small part of the table, found by id
     asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    wanted = asked.join(nodes, asked.node == nodes.f0).select(F.col("first").alias("__first"), F.col("copy").alias("__copy"))
-    some = docs.select(id_col, text_col).join(wanted, docs[id_col].eqNullSafe(F.col("__first")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left_semi")
-    texts = checkpointed(_wide(some, shingle, id_col, text_col, True).groupBy(F.col("f0").alias("node")).agg(F.min(F.struct(id_col, "text")).alias("m")).select("node", F.col("m.text").alias("text")))
+    texts = _texts(docs, nodes, asked, shingle, id_col, text_col)
     ta, tb = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")), texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
     ready = near.join(ta, F.col("a") == F.col("na")).join(tb, F.col("b") == F.col("nb")).sortWithinPartitions("a")
-    comps = checkpointed(connected_components(checkpointed(_verified(ready, similarity, shingle))))
+    found = checkpointed(_verified(ready, similarity, shingle))
+    dealt = _unsettled(pairs, found, nodes.select(*names), block)
+    again = _texts(docs, nodes, dealt.select(F.col("f0").alias("node")).distinct(), shingle, id_col, text_col)
+    comps = checkpointed(connected_components(found.union(_joined(dealt, again, limit(64 * WORDS), similarity, shingle))))
     least = comps.join(nodes, comps.node == nodes.f0).groupBy("root").agg(F.min("first").alias("component_id"))
     named = comps.join(least, "root").select(F.col("node").alias("f0"), "component_id")
     every = checkpointed(nodes.join(named, "f0", "left").select("f0", F.coalesce("component_id", "first").alias("component_id")))

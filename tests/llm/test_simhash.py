@@ -148,3 +148,50 @@ def test_dedup_decides_rows_that_share_an_id_or_have_none_each(spark):
     rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, c), (None, c + " but much longer than it was before and so not alike")]
     out = simhash.deduplicate(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA))
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, (rows[0], rows[2], rows[5], rows[6])))
+
+
+def test_families_equal_brute_force_over_all_met_pairs(spark):
+    rng = random.Random(21)
+    rows = []
+    for f in range(12):
+        base = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200))
+        rows += [(100 * f + i, edited(rng, base, rng.choice([3, 4, 5])), "", "") for i in range(24)]
+    # every pair that shares a key and passes both limits, compared exactly
+    wide = np.array([simhash.wide_fingerprint(r[1]) for r in rows], dtype=np.uint64)
+    runs = {}
+    for r, k in zip(*(x.tolist() for x in simhash.wide_keys(*wide.T)), strict=True):
+        runs.setdefault(k, set()).add(r)
+    share = simhash.differing_share(0.8)
+    limit = lambda n: int(np.ceil(n * share + 2.5 * np.sqrt(n * share * (1 - share))))
+    sets = [simhash.shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in {(i, j) for run in runs.values() for i in run for j in run if i < j}:
+        d = np.bitwise_count(wide[i] ^ wide[j])
+        if d[0] <= limit(64) and d.sum() <= limit(192) and simhash.jaccard(sets[i], sets[j]) >= 0.8:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    met = [rows[find(i)][0] for i in range(len(rows))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for block in (simhash.BLOCK, 7):
+        got = {r.doc_id: r.component_id for r in simhash._groups(df, 0.8, 5, "doc_id", "text", block=block).collect()}
+        # whatever met is joined; pairs of one family are looked at even where they share no key
+        assert all(got[r[0]] == got[m] for r, m in zip(rows, met, strict=True))
+        assert len(set(got.values())) <= len(set(met))
+        assert all(got[r[0]] // 100 == r[0] // 100 for r in rows)
+
+
+def test_a_forest_through_a_refused_text_costs_no_link(spark, monkeypatch):
+    rng = random.Random(4)
+    a = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200))
+    b, c = edited(rng, a, 30), edited(rng, a, 2)
+    assert jaccard(a, c) >= 0.8 > max(jaccard(a, b), jaccard(b, c))
+    fa, fb, fc = (int(np.uint64(simhash.wide_fingerprint(t)[0]).view(np.int64)) for t in (a, b, c))
+    forest = spark.createDataFrame([(fa, fb), (fb, fc)], "a long, b long")  # what a run may pass on of three that meet
+    monkeypatch.setattr(simhash, "_meet", lambda *_: forest)
+    df = spark.createDataFrame([(1, a, "", ""), (2, b, "", ""), (3, c, "", "")], SCHEMA)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == {1: 1, 2: 2, 3: 1}
