@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as Parquet in the shared checkpoint folder, and what deletes it there.
+
+    For large steps: compressed, and of known size to Catalyst. Delete it once
+    nothing lazy reads it any more.
+    """
+    spark = df.sparkSession
+    ready_checkpoints(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def forget() -> None:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), forget
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the value's decimal text, modulo ``n``."""
     c = F.col(col) if isinstance(col, str) else col

@@ -19,12 +19,18 @@ the words that its span can hold), so that a passage goes whole. A gram's
 removal must reach ``SPAN`` words, and less than ``GRAM`` words that chunks have
 left of it stay. Every removed word equals one at an earlier
 place, so one copy always stays. Grams of a single word repeated are left out.
+
+What travels: hashes and places of all chunks and grams, once for counting and
+once for those that repeat; then whole texts, once; and of the first occurrences
+the pages of ``PAGE`` words that some later occurrence has to be compared with,
+each once for every text that needs it, however many of its chunks lie there.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardloom.llm.common import checkpointed
+from shardloom.llm.common import checkpointed, stored
 
 #: Pieces that the rolling hash covers, and one in how many of its values ends a chunk.
 ROLL = 2
@@ -44,20 +50,35 @@ LONG_LINE = 40
 #: Shared spans of so many words are always met, by a gram of so many of them.
 SPAN = 50
 GRAM = 20
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?:\s+|$)|[.!?]+|$)", re.DOTALL)
+#: Words of a first occurrence that travel together.
+PAGE = 32
+#: Up to stops before white space, and that; never up to a place inside a word.
+_SENTENCE = re.compile(r"[^.!?]*+(?:[.!?]++(?=\S)[^.!?]*+)*+(?:[.!?]++\s*+)?")
 _UNIT = re.compile(r"\s*\S+\s*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: str) -> tuple[list[str], list[bool]]:
+@dataclass(frozen=True)
+class Shape:
+    """What makes up chunks and grams; ``least_words`` 1 removes every repeated chunk, however short."""
+
+    roll: int = ROLL
+    divisor: int = DIVISOR
+    least_words: int = LEAST_WORDS
+    long_line: int = LONG_LINE
+    span: int = SPAN
+    gram: int = GRAM
+
+
+def pieces(text: str, long_line: int = LONG_LINE) -> tuple[list[str], list[bool]]:
     """The lines and sentences of a text, which join to it exactly, and whether each starts a bounded line."""
     out: list[str] = []
     edge: list[bool] = []
     after = False
     for line in text.split("\n"):
         n = len(line.split())
-        bounds = n >= LONG_LINE or n == 0
-        parts = [s for s in _SENTENCE.findall(line) if s] if n >= LONG_LINE else [line]
+        bounds = n >= long_line or n == 0
+        parts = [s for s in _SENTENCE.findall(line) if s] if n >= long_line else [line]
         parts[-1] += "\n"
         out += parts
         edge += [bounds or after, *[False] * (len(parts) - 1)]
@@ -74,7 +95,7 @@ def units(text: str) -> tuple[list[str], list[bool]]:
     return us, ([True] + ["\n" in u for u in us])[: len(us)]
 
 
-def bounds(us: list[str], edge: list[bool]) -> list[int]:
+def bounds(us: list[str], edge: list[bool], roll: int = ROLL, divisor: int = DIVISOR) -> list[int]:
     """First piece of every chunk, and the number of pieces."""
     if not us:
         return [0]
@@ -83,17 +104,17 @@ def bounds(us: list[str], edge: list[bool]) -> list[int]:
     out = [0]
     for i in range(len(us) - 1):
         rolled = 0
-        for k in range(max(0, i - ROLL + 1), i + 1):
+        for k in range(max(0, i - roll + 1), i + 1):
             rolled = (rolled * 0x9E3779B97F4A7C15 + h[k]) & 0xFFFFFFFFFFFFFFFF
-        if edge[i + 1] or ((rolled >> 33) % DIVISOR == 0 and i - out[-1] + 1 >= ROLL):
+        if edge[i + 1] or ((rolled >> 33) % divisor == 0 and i - out[-1] + 1 >= roll):
             out.append(i + 1)
     return [*out, len(us)]
 
 
-def chunks(text: str | None) -> Iterator[tuple[int, int, str]]:
+def chunks(text: str | None, shape: Shape = Shape()) -> Iterator[tuple[int, int, str]]:
     """(first unit, number of units, text) of every chunk, in order; blank lines go with the chunk before."""
-    ps, edge = pieces(text or "")
-    cuts = bounds(ps, edge)
+    ps, edge = pieces(text or "", shape.long_line)
+    cuts = bounds(ps, edge, shape.roll, shape.divisor)
     at, n, body = 0, 0, ""
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = "".join(ps[a:b])
@@ -105,8 +126,8 @@ def chunks(text: str | None) -> Iterator[tuple[int, int, str]]:
         yield at, n or 1, body
 
 
-def _eligible(n: int, body: str) -> bool:
-    return len(body.split()) >= LEAST_WORDS
+def _eligible(n: int, body: str, least_words: int = LEAST_WORDS) -> bool:
+    return len(body.split()) >= least_words
 
 
 class _Hashes(dict):
@@ -128,64 +149,76 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[width - have : width - have + n])
 
 
-def grams(texts: list[list[str]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[list[str]], hashes: _Hashes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash, second hash) of the grams that are kept: the least of every ``SPAN`` words in a row of a text."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     none = np.empty(0, dtype=np.int64)
-    if not len(sizes) or ends[-1] < SPAN:
+    if not len(sizes) or ends[-1] < span:
         return none, none, none, none
     w = np.fromiter((hashes[x] for t in texts for x in t), dtype=np.uint64, count=int(ends[-1]))
-    n, width = len(w) - GRAM + 1, SPAN - GRAM + 1
+    n, width = len(w) - gram + 1, span - gram + 1
     h, h2 = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
+    for k in range(gram):
         h = (h ^ w[k : k + n]) * _MIX
         h ^= h >> np.uint64(29)
         h2 = h2 * _MIX + w[k : k + n]
     changes = np.concatenate(([0], np.cumsum(w[1:] != w[:-1])))
-    h[changes[GRAM - 1 :] == changes[:n]] = np.iinfo(np.uint64).max
+    h[changes[gram - 1 :] == changes[:n]] = np.iinfo(np.uint64).max
     least = _sliding(h, width, np.minimum)
-    least[np.arange(len(least)) + SPAN > np.repeat(ends, sizes)[: len(least)]] = 0  # no span of one text
+    least[np.arange(len(least)) + span > np.repeat(ends, sizes)[: len(least)]] = 0  # no span of one text
     edge = np.zeros(width - 1, dtype=np.uint64)
     at = np.nonzero((_sliding(np.concatenate((edge, least, edge)), width, np.maximum) == h) & (h != 0) & (h != np.iinfo(np.uint64).max))[0]
     text = np.searchsorted(ends, at, side="right")
     return text, at - (ends - sizes)[text], h[at].view(np.int64), h2[at].view(np.int64)
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """(id, copy, place, hash, hash2) of every chunk and gram that may be removed. ``docs`` has id, copy, text.
+def _chunk_rows(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(id, copy, place, reach, hash, hash2) of every chunk and gram that may be removed. ``docs`` has id, copy, text.
 
-    ``place`` holds the first word, the number of words and whether it is a gram, see :func:`_placed`.
+    ``place`` holds the first word, the number of words and whether it is a gram, see :func:`_placed`;
+    ``reach`` how many words before and after it a removal may take in.
     """
+    least, span, gram = shape.least_words, shape.span, shape.gram
+    low = (1 << 31) - 1
 
     def out(ids: pa.Array, copy: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
         take = pa.array(rows[0], pa.int64())
-        return pa.RecordBatch.from_arrays([ids.take(take), copy.take(take), *(pa.array(v, pa.int64()) for v in rows[1:])], names=["id", "copy", "place", "hash", "hash2"])
+        cols = [ids.take(take), copy.take(take), *(pa.array(v, pa.int64()) for v in rows[1:4]), pa.array(rows[4].astype(np.int32), pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "copy", "place", "reach", "hash", "hash2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            rows: list[list] = [[] for _ in range(4)]
+            rows: list[list] = [[] for _ in range(5)]
             texts: list[list[str]] = []
             first = size = 0
             for r, t in enumerate(b.column(2)):
                 text = t.as_py() or ""
-                for at, n, part in chunks(text):
+                before, open_ = 0, None
+                for at, n, part in chunks(text, shape):
+                    if open_ is not None:
+                        rows[2][open_] |= n  # the chunk after it
+                        open_ = None
                     body = part.strip()
-                    if _eligible(n, body):
+                    if _eligible(n, body, least):
                         d = xxhash.xxh128_intdigest(body.encode("utf-8", "surrogatepass"))
-                        for col, v in zip(rows, (r, at << 32 | n << 1, (d >> 64) - (1 << 63), (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), strict=True):
+                        open_ = len(rows[0])
+                        for col, v in zip(rows, (r, at << 32 | n << 1, before << 32, (d >> 64) - (1 << 63), d & low), strict=True):
                             col.append(v)
+                    before = n
                 texts.append(text.split())
                 size += len(texts[-1])
                 if size >= 200_000 or r == b.num_rows - 1:
-                    k, at, h, h2 = grams(texts, hashes)
-                    met = (k + first, at << 32 | GRAM << 1 | 1, h, h2)
+                    k, at, h, h2 = grams(texts, hashes, span, gram)
+                    words = np.array([len(x) for x in texts], dtype=np.int64)
+                    reach = np.minimum(at, span - gram) << 32 | np.minimum(words[k] - at - gram, span - gram)
+                    met = (k + first, at << 32 | gram << 1 | 1, reach, h, h2 & low)
                     yield out(b.column(0), b.column(1), [np.concatenate((np.array(v, dtype=np.int64), m)) for v, m in zip(rows, met, strict=True)])
-                    rows, texts, first, size = [[] for _ in range(4)], [], r + 1, 0
+                    rows, texts, first, size = [[] for _ in range(5)], [], r + 1, 0
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, place long, hash long, hash2 long")
+    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, place long, reach long, hash long, hash2 int")
 
 
 def _placed(place: int) -> tuple[int, int, bool]:
@@ -193,91 +226,79 @@ def _placed(place: int) -> tuple[int, int, bool]:
     return place >> 32, (place & 0xFFFFFFFF) >> 1, bool(place & 1)
 
 
-_MODEL = ["hash", "hash2", "body", "before", "after"]
-
+def _equal_run(a: list[str], b: list[str]) -> int:
+    """How many first elements of two lists are equal."""
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
-def _around(text: str, places: list[int]) -> Iterator[tuple[int, int, bool, str, list[str], list[str]]]:
-    """(first word, number of words, gram or not, text, words before from the nearest on, words after) of every place."""
-    bare, cs = text.split(), None
-    for x, n, gram in map(_placed, places):
-        y = x + n
-        if gram:
-            body, low, high = " ".join(bare[x:y]), max(0, x - SPAN + GRAM), y + SPAN - GRAM
-        else:
-            if cs is None:
-                cs = list(chunks(text))
-                at = {c[0]: k for k, c in enumerate(cs)}
-            k = at[x]
-            body, low, high = cs[k][2].strip(), cs[max(0, k - 1)][0], sum(cs[min(k + 1, len(cs) - 1)][:2])
-        yield x, n, gram, body, bare[low:x][::-1], bare[y:high]
 
+def _repeats(docs: DataFrame, shape: Shape) -> DataFrame:
+    """(copy, place, copy1, place1, before, after): every later occurrence, its first one, and how far its removal may reach.
 
-def _models(firsts: DataFrame) -> DataFrame:
-    """The first occurrences with their text and the words beside them. ``firsts`` has text, marks."""
+    Hashes are counted with map-side combine. The joins on them have one row a
+    hash on one side, so a chunk that a third of all texts hold is split by AQE's
+    skew handling on the other. 64 bits pick what may repeat, 95 tell it.
+    """
+    every, forget = stored(_chunk_rows(docs, shape))
+    often = every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    some = checkpointed(every.join(often, "hash"))
+    forget()
+    first = F.min(F.struct("id", "copy", "place", "reach")).alias("f")
+    firsts = checkpointed(some.groupBy("hash", "hash2").agg(first, F.count("*").alias("times")).where("times > 1").select("hash", "hash2", F.col("f.id").alias("id1"), F.col("f.copy").alias("copy1"), F.col("f.place").alias("place1"), F.col("f.reach").alias("reach1")))
+    same = F.col("id").eqNullSafe(F.col("id1")) & (F.col("copy") == F.col("copy1")) & (F.col("place") == F.col("place1"))
+    low = F.lit(0xFFFFFFFF)
+    least = lambda x, y: F.least(x, y).cast("int")
+    before, after = least(F.shiftright("reach", 32), F.shiftright("reach1", 32)), least(F.col("reach").bitwiseAND(low), F.col("reach1").bitwiseAND(low))
+    return checkpointed(some.join(firsts, ["hash", "hash2"]).where(~same).select("copy", "place", "copy1", "place1", before.alias("before"), after.alias("after")))
+
+
+def _pages(marked: DataFrame, text_at: int) -> DataFrame:
+    """(copy1, page, words): the asked pages of texts. ``marked`` has all columns of the documents, copy and pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in _MODEL]
-            for text, marks in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                for m, (_, _, _, body, before, after) in zip(marks, _around(text.as_py() or "", [m["place"] for m in marks]), strict=True):
-                    for col, v in zip(rows, (m["hash"], m["hash2"], body, " ".join(before), " ".join(after)), strict=True):
-                        col.append(v)
-                if len(rows[0]) >= 2000:
-                    yield out(rows)
-                    rows = [[] for _ in _MODEL]
+            rows: list[list] = [[], [], []]
+            size = 0
+            for text, copy, asked in zip(b.column(text_at), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1), strict=True):
+                bare = (text.as_py() or "").split()
+                for page in asked.as_py():
+                    rows[0].append(copy)
+                    rows[1].append(page)
+                    rows[2].append(" ".join(bare[page * PAGE : page * PAGE + PAGE]))
+                    size += len(rows[2][-1])
+                if size >= 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string())], names=["copy1", "page", "words"])
+                    rows, size = [[], [], []], 0
             if rows[0]:
-                yield out(rows)
-
-    def out(rows: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=_MODEL)
-
-    return firsts.select("text", "marks").mapInArrow(run, "hash long, hash2 long, body string, before string, after string")
-
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string())], names=["copy1", "page", "words"])
 
-def _equal_run(a: list[str], b: list[str]) -> int:
-    """How many first elements of two lists are equal."""
-    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return marked.mapInArrow(run, "copy1 long, page int, words string")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, copy, again): of every text with repeats an array of (place, body, before, after).
+def cut(text: str, again: list[dict], pages: list[dict], shape: Shape = Shape()) -> tuple[str, list[dict]]:
+    """The text without its repeats, and the runs of words (at, n) that were removed.
 
-    ``place`` is that of a later occurrence in the text, the rest is the text of
-    its first occurrence and the words beside it, see :func:`cut`. ``copy`` is a
-    hash of the text, so that rows sharing an id stay apart.
-    Chunks and grams are counted by 128-bit hash with map-side combine. The joins
-    on them have one row per repeated chunk on one side, so a chunk that a
-    third of all texts hold is split by AQE's skew handling on the other.
-    Only first occurrences travel with their text.
+    ``again`` has place, copy1, place1, before and after of later occurrences,
+    ``pages`` copy1, page and words of their first ones.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
-    all_chunks = checkpointed(_chunk_rows(rows))
-    often = all_chunks.groupBy("hash", "hash2").agg(F.count("*").alias("times")).where("times > 1").select("hash", "hash2")
-    some = checkpointed(all_chunks.join(often, ["hash", "hash2"]))
-    firsts = checkpointed(some.groupBy("hash", "hash2").agg(F.min(F.struct("id", "copy", "place")).alias("f")).select("hash", "hash2", F.col("f.id").alias("id1"), F.col("f.copy").alias("copy1"), F.col("f.place").alias("place1")))
-    marks = firsts.groupBy(F.col("id1").alias("id2"), F.col("copy1").alias("copy2")).agg(F.collect_list(F.struct("hash", "hash2", F.col("place1").alias("place"))).alias("marks"))
-    # rows that repeat id and text are one
-    model = _models(rows.join(marks, rows.id.eqNullSafe(marks.id2) & (rows.copy == marks.copy2))).dropDuplicates(["hash", "hash2"])
-    first = F.col("id").eqNullSafe(F.col("id1")) & (F.col("copy") == F.col("copy1")) & (F.col("place") == F.col("place1"))
-    later = some.join(firsts, ["hash", "hash2"]).where(~first).select("hash", "hash2", "id", "copy", "place").join(model, ["hash", "hash2"])
-    return later.groupBy("id", "copy").agg(F.collect_set(F.struct("place", "body", "before", "after")).alias("again"))
-
-
-def cut(text: str, again: list[dict]) -> tuple[str, list[dict]]:
-    """The text without its repeats, and the runs of words (at, n) that were removed."""
     us, _ = units(text)
+    bare = text.split()
+    words = {(p["copy1"], p["page"]): p["words"].split(" ") for p in pages}
     keep, more = np.ones(len(us), dtype=bool), np.zeros(len(us), dtype=bool)
-    for m, (at, n, gram, body, before, after) in zip(again, _around(text, [m["place"] for m in again]), strict=True):
-        if body == m["body"]:
-            x = at - _equal_run(before, m["before"].split())
-            y = at + n + _equal_run(after, m["after"].split())
-            if not gram:
-                keep[x:y] = False
-            elif y - x >= SPAN:
-                more[x:y] = True
+    for m in again:
+        (at, n, gram), (at1, _, _) = _placed(m["place"]), _placed(m["place1"])
+        low, high = at1 - m["before"], at1 + n + m["after"]
+        first = [w for k in range(low // PAGE, (high - 1) // PAGE + 1) for w in words.get((m["copy1"], k), ())]
+        x = at1 - low // PAGE * PAGE  # of the occurrence in what the pages hold
+        if first[x : x + n] != bare[at : at + n]:
+            continue
+        a = at - _equal_run(bare[at - m["before"] : at][::-1], first[x - m["before"] : x][::-1])
+        b = at + n + _equal_run(bare[at + n : at + n + m["after"]], first[x + n : x + n + m["after"]])
+        if not gram:
+            keep[a:b] = False
+        elif b - a >= shape.span:
+            more[a:b] = True
     for x, y in _runs(more & keep):
-        keep[x:y] = y - x < GRAM
+        keep[x:y] = y - x < shape.gram
     gone = [{"at": x, "n": y - x} for x, y in _runs(~keep)]
     return "".join(u for u, k in zip(us, keep, strict=True) if k).strip() if gone else text, gone
 
@@ -288,29 +309,48 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(turn[::2], turn[1::2], strict=True))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
     """``docs``, all columns and rows, with ``text_col`` less its repeated passages, and a column removed.
 
     ``removed`` is an array of (at, n): first word and number of words of every run. White
     space left at the ends by a removal is trimmed; a text without a removal
-    is unchanged to the byte. Null texts stay null, empty ones empty. Rows
-    that repeat both id and text count as one occurrence and stay equal. A
-    column that is already named removed is replaced.
+    is unchanged to the byte. Null texts stay null, empty ones empty; an empty table
+    gives no rows. Rows that repeat both id and text count as one occurrence and stay
+    equal; rows that share an id alone are texts of their own, of which the one with the
+    lesser hash counts as the earlier; a null id comes before all others. Very long texts
+    are read whole. A column that is already named removed is replaced, other names may clash.
+
+    Both joins with the documents need the same exchange of all their columns,
+    which Spark then runs once.
     """
     docs = docs.drop("removed")
-    again = repeated(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "again")
-    joined = docs.join(again, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left").drop("__id", "__copy").withColumnRenamed("again", "removed")
     names, at = docs.columns, docs.columns.index(text_col)
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("copy"), F.col(text_col).alias("text"))
+    later = _repeats(rows, shape)
+    words = F.shiftright("place1", 32)
+    low, high = words - F.col("before"), words + F.shiftright(F.col("place1").bitwiseAND(F.lit(0xFFFFFFFF)), 1) + F.col("after")
+    page = lambda w: F.floor(w / PAGE).cast("int")
+    asked = checkpointed(later.select("copy", "copy1", F.explode(F.sequence(page(low), page(high - 1))).alias("page")).distinct())
+    whole = docs.withColumn("__copy", key)
+    marks = asked.groupBy("copy1").agg(F.collect_set("page").alias("pages"))  # a text's own pages at most
+    marked = whole.join(marks, whole["__copy"] == marks.copy1).select(*[whole[c] for c in names], "__copy", "pages")
+    pages = _pages(marked, at).dropDuplicates(["copy1", "page"])  # rows that repeat id and text are one
+    spot, text = F.struct("place", "copy1", "place1", "before", "after"), F.struct("copy1", "page", "words")
+    given = asked.join(pages, ["copy1", "page"]).select("copy", F.lit(None).cast(later.select(spot.alias("s")).schema["s"].dataType).alias("s"), text.alias("p"))
+    spots = later.select("copy", spot.alias("s"), F.lit(None).cast(given.schema["p"].dataType).alias("p"))
+    again = spots.unionByName(given).groupBy("copy").agg(F.collect_list("s").alias("__again"), F.collect_list("p").alias("__pages"))
+    joined = whole.join(again, whole["__copy"] == again.copy, "left").select(*[whole[c] for c in names], "__again", "__pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, gone = b.column(at).to_pylist(), [[]] * b.num_rows
-            for i, again in enumerate(b.column(len(names)).to_pylist()):
-                if again:
-                    texts[i], gone[i] = cut(texts[i], again)
-            cols = list(b.columns)
+            for i, (again, pages) in enumerate(zip(b.column(len(names)), b.column(len(names) + 1), strict=True)):
+                if again.is_valid and texts[i]:
+                    texts[i], gone[i] = cut(texts[i], again.as_py(), pages.as_py(), shape)
+            cols = list(b.columns)[: len(names)]
             cols[at] = pa.array(texts, b.column(at).type)
-            cols[-1] = pa.array(gone, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+            cols.append(pa.array(gone, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "removed"])
 
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType().add("at", T.IntegerType()).add("n", T.IntegerType())))]))

@@ -107,3 +107,26 @@ def test_shared_spans_of_fifty_words_are_met_wherever_lines_end(spark):
             assert len(left) - len(own) < linededup.GRAM and left[:at] + left[at + len(left) - len(own) :] == own, d
         else:
             assert got[d].text == text
+
+
+def test_chunks_never_cut_a_word():
+    rng = random.Random(5)
+    for _ in range(500):
+        t = "".join(rng.choices(["a", "me.too@mail.example.com ", " ", ".", "\n", "! ", "?", "e.g.", "words of a long line " * 9], k=rng.randrange(40)))
+        assert all(t.split()[at : at + n] == body.split() for at, n, body in linededup.chunks(t) if body.split())
+
+
+def test_removals_beside_words_with_stops_inside(spark):
+    rng = random.Random(7)
+    dotted = "Write to me.too@mail5.example.com or call 1.5.2 now, " + words(rng, 45) + ". "
+    shared = words(rng, 14) + "."
+    rows = [(i, dotted.replace("5", str(i)) + words(rng, 8) + "\n" + shared + "\n\n" + words(rng, 5), "", "", "") for i in range(3)]
+    got = {r.doc_id: r.text for r in linededup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == rows[0][1] and all(shared not in got[i] for i in (1, 2))
+    assert all(rows[i][1].split("\n")[3] in got[i] and rows[i][1].split(". ")[1].split("\n")[0] in got[i] for i in (1, 2))
+
+
+def test_every_repeated_chunk_goes_without_a_floor(spark):
+    rows = [(1, "one two\nthree", "", "", ""), (2, "one two\nthree", "", "", "")]
+    got = {r.doc_id: r.text for r in linededup.deduplicate(spark.createDataFrame(rows, SCHEMA), shape=linededup.Shape(least_words=1)).collect()}
+    assert got == {1: rows[0][1], 2: ""}
