@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from shardloom.errors import EngineError
 
@@ -11,6 +12,19 @@ _PART = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 READS = ("SELECT", "VALUES", "TABLE", "PRAGMA", "EXPLAIN", "WITH", "SHOW")
 
 
+#: Quoted text and comments, in which nothing is a keyword, a column or a placeholder.
+QUOTED = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
+
+
+def outside(sql: str, change: Callable[[str], str], quoted: Callable[[str], str] = str) -> str:
+    """``sql`` with ``change`` applied to what lies outside quotes and comments, and ``quoted`` to those."""
+    out, at = [], 0
+    for m in QUOTED.finditer(sql):
+        out += [change(sql[at : m.start()]), quoted(m.group())]
+        at = m.end()
+    return "".join(out) + change(sql[at:])
+
+
 def quote(name: str) -> str:
     """Backtick-quoted identifier, each dotted part checked."""
     parts = [p.strip() for p in name.strip().split(".")]

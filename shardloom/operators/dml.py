@@ -14,14 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.errors import EngineError
+from shardloom.functions.idents import outside
 
 
 @dataclass
 class Change:
-    """The table after a statement, and the rows it affected (for RETURNING and the count)."""
+    """The table after a statement, and the rows it affected (for RETURNING and the count).
+
+    ``rest``: the rows that it left alone, None where those are all old rows. The table
+    is the rest and, unless rows were deleted, the affected rows.
+    """
 
     table: DataFrame
     affected: DataFrame
+    rest: DataFrame | None = None
 
     def returning(self, columns: list[str] | None = None) -> DataFrame:
         return self.affected if columns is None else self.affected.selectExpr(*columns)
@@ -68,7 +74,8 @@ def insert(old: DataFrame, new: DataFrame, keys: list[str], on_conflict: str = "
         return Change(old.unionByName(rows), rows)
     rows = _aligned(last_of(new, keys, order), old)
     if on_conflict == "replace":
-        return Change(old.join(rows, _same(old, rows, keys), "left_anti").unionByName(rows), rows)
+        rest = old.join(rows, _same(old, rows, keys), "left_anti")
+        return Change(rest.unionByName(rows), rows, rest)
     if on_conflict != "ignore":
         raise EngineError(f"Unknown conflict rule {on_conflict}", "EMPTY_CONFLICT")
     fresh = rows.join(old, _same(rows, old, keys), "left_anti")
@@ -101,12 +108,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] |
         return F.when(fresh, taken).when(hit, own).otherwise(kept).alias(f.name)
 
     out = both.select(*[value(f) for f in old.schema], F.col("_new").isNotNull().alias("_hit"))
-    return Change(out.drop("_hit"), out.where("_hit").drop("_hit"))
+    return Change(out.drop("_hit"), out.where("_hit").drop("_hit"), out.where("not _hit").drop("_hit"))
 
 
 def _qualified(sql: str, columns: list[str]) -> str:
-    """Bare column names mean the old row."""
-    return re.sub(r"(?<![\w.'`])(" + "|".join(map(re.escape, columns)) + r")(?![\w('`.])", r"o.\1", sql)
+    """Bare column names mean the old row; text in quotes is left alone, but for a column's quoted name."""
+    bare = re.compile(r"(?<![\w.])(" + "|".join(map(re.escape, columns)) + r")(?![\w.]|\s*\()", re.IGNORECASE)
+    named = lambda q: f"o.{q}" if q[0] == "`" and q[1:-1] in columns else q
+    marked = outside(sql, lambda t: bare.sub(r"o.\1", t), named)
+    return re.sub(r"(\w|`)\.o\.(?=[`\w])", r"\1.", marked)  # a qualified quoted name
 
 
 def update(old: DataFrame, sets: dict[str, str | Column], where: Column | str | None = None) -> Change:
@@ -120,7 +130,7 @@ def update(old: DataFrame, sets: dict[str, str | Column], where: Column | str |
     new = {c: (F.expr(v) if isinstance(v, str) else v).cast(types[c]) for c, v in sets.items()}
     table = old.select(*[F.when(cond, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in old.columns])
     affected = old.where(cond).select(*[new[c].alias(c) if c in new else F.col(c) for c in old.columns])
-    return Change(table, affected)
+    return Change(table, affected, old.where(~cond))
 
 
 def delete(old: DataFrame, where: Column | str | None, everything: bool = False) -> Change:
@@ -128,9 +138,9 @@ def delete(old: DataFrame, where: Column | str | None, everything: bool = False)
     if where is None:
         if not everything:
             raise EngineError("DELETE needs a condition", "EMPTY_WHERE")
-        return Change(old.limit(0), old)
+        return Change(old.limit(0), old, old.limit(0))
     cond = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
-    return Change(old.where(~cond), old.where(cond))
+    return Change(old.where(~cond), old.where(cond), old.where(~cond))
 
 
 def reassign(table: DataFrame, key: str, moves: DataFrame) -> DataFrame:

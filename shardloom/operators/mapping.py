@@ -9,25 +9,54 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.errors import EngineError
 from shardloom.functions.hashing import key_id, key_id_of
 from shardloom.operators.strategies import Allocation
+from shardloom.sources.folders import ready_checkpoints
 
+_ROW = Row("key_id", "shard", "group_id", "original_key", "created_at", "updated_at")
 SCHEMA = "key_id string, shard string, group_id string, original_key string, created_at long, updated_at long"
 
 
+#: Changed keys that are held on the driver before they join the frame.
+PENDING = 1000
+
+
 class Mapping:
-    """Every change returns a new mapping over a new plan; ``materialise`` cuts the lineage."""
+    """Every change returns a new mapping.
 
-    def __init__(self, keys: DataFrame, hashed: bool = True):
-        self.keys, self.hashed = keys, hashed
+    Single changes are kept on the driver, over a frame (``base``); after
+    ``PENDING`` keys :meth:`materialise` writes both to the checkpoint folder, so
+    plans stay short and most keyed reads need no job. Bulk changes are joins.
+    """
+
+    def __init__(self, keys: DataFrame | None, hashed: bool = True, spark: SparkSession | None = None, pending: dict[str, tuple | None] | None = None):
+        self.base, self.hashed, self.pending = keys, hashed, pending or {}
+        self.spark = spark or keys.sparkSession
 
     @classmethod
     def empty(cls, spark: SparkSession, hashed: bool = True) -> Mapping:
-        return cls(spark.createDataFrame([], SCHEMA), hashed)
+        return cls(None, hashed, spark)
+
+    @property
+    def keys(self) -> DataFrame:
+        """All rows as one frame."""
+        if self.base is not None and not self.pending:
+            return self.base
+        fresh = self.spark.createDataFrame([r for r in self.pending.values() if r], SCHEMA)
+        return fresh if self.base is None else self.base.where(~F.col("key_id").isin(list(self.pending))).unionByName(fresh)
+
+    def materialise(self) -> Mapping:
+        """The same mapping as one stored frame, sorted by key so that a key's file range is found by its statistics."""
+        ready_checkpoints(self.spark)
+        return Mapping(self.keys.sort("key_id").checkpoint(), self.hashed)
+
+    def _with(self, rows: dict[str, tuple | None]) -> Mapping:
+        out = Mapping(self.base, self.hashed, self.spark, self.pending | rows)
+        return out.materialise() if len(out.pending) > PENDING else out
 
     @classmethod
     def build(cls, rows: DataFrame, key: str, shard: str = "_shard", aliases: list[str] = (), hashed: bool = True) -> Mapping:
@@ -39,27 +68,37 @@ class Mapping:
         out = out.select(key_id("original_key", hashed).alias("key_id"), "shard", "group_id", F.when(F.lit(not hashed), F.col("original_key")).alias("original_key"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
         return cls(out, hashed)
 
-    def _one(self, key: str) -> DataFrame:
-        return self.keys.where(F.col("key_id") == key_id_of(key, self.hashed))
+    def _row(self, key: str) -> Row | None:
+        k = key_id_of(key, self.hashed)
+        if k in self.pending or self.base is None:
+            r = self.pending.get(k)
+            return r and _ROW(*r)
+        return self.base.where(F.col("key_id") == k).head()
 
     def get(self, key: str) -> str | None:
-        row = self._one(key).select("shard").head()
+        row = self._row(key)
         return row.shard if row else None
 
-    def require(self, key: str):
-        row = self._one(key).head()
+    def require(self, key: str) -> Row:
+        row = self._row(key)
         if row is None:
             raise EngineError(f"No mapping for key {key}", "MAPPING_NOT_FOUND")
         return row
 
+    def _group(self, group: str) -> list[Row]:
+        """All rows of a record."""
+        out = [_ROW(*r) for r in self.pending.values() if r and r[2] == group]
+        if self.base is not None:
+            out += [r for r in self.base.where(F.col("group_id") == group).collect() if r.key_id not in self.pending]
+        return out
+
+    def _new(self, keys: list[str], shard: str, group: str) -> dict[str, tuple]:
+        now = int(time.time() * 1000)
+        return {(i := key_id_of(k, self.hashed)): (i, shard, group, None if self.hashed else k, now, now) for k in dict.fromkeys(keys)}
+
     def set(self, key: str, shard: str, more: list[str] = ()) -> Mapping:
         """Map a primary key and its further lookup keys; existing rows of these keys are replaced."""
-        spark, now = self.keys.sparkSession, int(time.time() * 1000)
-        group = key_id_of(key, self.hashed)
-        names = list(dict.fromkeys([key, *more]))
-        rows = [(key_id_of(k, self.hashed), shard, group, None if self.hashed else k, now, now) for k in names]
-        new = spark.createDataFrame(rows, SCHEMA)
-        return Mapping(self.keys.where(~F.col("key_id").isin([r[0] for r in rows])).unionByName(new), self.hashed)
+        return self._with(self._new([key, *more], shard, key_id_of(key, self.hashed)))
 
     def set_batch(self, pairs: DataFrame) -> Mapping:
         """Upsert (key, shard) pairs in bulk; of repeated keys the largest shard name counts."""
@@ -70,22 +109,17 @@ class Mapping:
 
     def update(self, key: str, shard: str) -> Mapping:
         """Move a record: any of its keys moves the whole group."""
-        group = self.require(key).group_id
-        own = F.col("group_id") == group
-        now = F.lit(int(time.time() * 1000))
-        return Mapping(self.keys.withColumns({"shard": F.when(own, shard).otherwise(F.col("shard")), "updated_at": F.when(own, now).otherwise(F.col("updated_at"))}), self.hashed)
+        now = int(time.time() * 1000)
+        return self._with({r.key_id: (r.key_id, shard, r.group_id, r.original_key, r.created_at, now) for r in self._group(self.require(key).group_id)})
 
     def delete(self, key: str) -> Mapping:
         """Forget a record by any of its keys; an unknown key changes nothing."""
-        row = self._one(key).head()
-        return self if row is None else Mapping(self.keys.where(F.col("group_id") != row.group_id), self.hashed)
+        row = self._row(key)
+        return self if row is None else self._with({r.key_id: None for r in self._group(row.group_id)})
 
     def add_lookup_keys(self, key: str, more: list[str]) -> Mapping:
         row = self.require(key)
-        now = int(time.time() * 1000)
-        rows = [(key_id_of(k, self.hashed), row.shard, row.group_id, None if self.hashed else k, now, now) for k in dict.fromkeys(more)]
-        new = self.keys.sparkSession.createDataFrame(rows, SCHEMA)
-        return Mapping(self.keys.where(~F.col("key_id").isin([r[0] for r in rows])).unionByName(new), self.hashed)
+        return self._with(self._new(more, row.shard, row.group_id))
 
     def lookup_keys(self, key: str) -> DataFrame:
         """All keys of the record (their ids where keys are hashed)."""

@@ -6,8 +6,6 @@ feature (pages, top-k, first rows). Every order has a unique last column.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +19,7 @@ from shardloom.operators.coordinator import Coordinator
 from shardloom.operators.mapping import Mapping
 from shardloom.operators.strategies import Allocation, Location, round_robin, size_filter
 from shardloom.plans.engine import Config, Engine
+from shardloom.sources.folders import scratch
 from shardloom.sources.cache import Cache, Lookups
 from shardloom.sources.kv import MemoryKV
 
@@ -539,15 +538,6 @@ def delete_returning(spark, d):
 # stored tables, catalog and introspection
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='shardloom-')}" if sc.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 def _stored(spark: SparkSession, d: str, table: str, key: str) -> Engine:
     e = Engine(spark, Config(SHARDS, scratch(spark)))
     e.store.create(table, read(spark, d, table).schema, key)
