@@ -5,8 +5,9 @@ one-versus-one linear support vector machines separate its languages and the
 votes decide (ties: the larger sum of margins). Features are relative
 frequencies of hashed character n-grams over the whole text.
 
-Fitting uses at most ``MAX_ROWS`` rows, shared evenly by the languages;
-prediction is one pass without a shuffle.
+Fitting uses at most ``MAX_ROWS`` rows and ``EACH`` of a language, shared evenly by
+the languages: two passes over ids and languages pick them, one over texts reads
+them. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardloom.llm.common import checkpointed, name_package
 from shardloom.llm.ngrams import hashed
 
 SIZES = (1, 2, 3)
 BITS = 12
 MAX_ROWS = 4000
-LETTER = re.compile(r"[^\W\d_]")
+#: Rows of a language at most.
+EACH = 1000
+_WORDLIKE = re.compile(r"[^\W\d_]")
 
 # ISO 639-1 codes by language family.
 FAMILIES = {
@@ -62,6 +66,11 @@ class Model:
     machines: dict[str, np.ndarray] = field(default_factory=dict)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of Unicode's letter categories (fractions, circled digits and such are none)."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text or ""))
+
+
 def vector(text: str) -> np.ndarray:
     """Square roots of n-gram shares (unit length), and 1 for the bias."""
     v = np.zeros((1 << BITS) + 1, dtype=np.float32)
@@ -75,8 +84,8 @@ def vector(text: str) -> np.ndarray:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [vector(t.as_py() or "").astype(np.float16).tobytes() for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1)], names=["x", "lang"])
+        x = [vector(t).astype(np.float16).tobytes() if has_letter(t) else None for t in (c.as_py() for c in b.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1)], names=["x", "lang"]).filter(pa.array([v is not None for v in x], pa.bool_()))
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int = 250) -> np.ndarray:
@@ -91,24 +100,28 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, steps: int = 250) -
     return w
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model | None:
-    """Fit on at most ``max_rows`` rows with a language, as many of each, by a hash of the id.
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS, each: int = EACH) -> Model | None:
+    """Fit on at most ``max_rows`` rows with a language, as many of each but ``each`` at most, by a hash of the id.
 
-    Null languages, null ids and texts without a letter are left out. No rows: None.
+    Null languages and null ids are left out; of the rows picked, null texts and
+    texts without a letter are not learned from. Rows that share id and language
+    count as one when picking. More languages than ``max_rows``: some are not
+    learned. No rows: None. Whole texts are read, however long; other columns are not.
     """
+    name_package(rows.sparkSession)
     known = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = known.where("lang is not null and id is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    if not langs:
-        return None
-    each = max(1, max_rows // len(langs))
-    pick = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(each).select("id", F.lit(lang).alias("lang"))
-        pick = part if pick is None else pick.union(part)
-    pick = pick.distinct()
+    known = known.where("lang is not null and id is not null")
+    # about four times as many rows of a language as are wanted, by the hash alone, so that no window grows with the table
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / (1 << 31)
+    some = known.select("id", "lang", share.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") * F.col("n") <= 4 * each)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    pick = some.select("id", "lang", "h").withColumn("rank", rank).where(F.col("rank") <= each)
     # the picked ids are bounded by max_rows, so they may be broadcast
+    pick = checkpointed(pick.orderBy("rank", "h", "id", "lang").limit(max_rows).select("id", "lang").distinct())
     got = known.join(F.broadcast(pick), ["id", "lang"]).select("text", "lang").mapInArrow(_vectors, "x binary, lang string").collect()
+    if not got:
+        return None
     x = np.stack([np.frombuffer(r.x, dtype=np.float16) for r in got]).astype(np.float32)
     lang = np.array([r.lang for r in got])
     fam = np.array([family_of(a) for a in lang])
@@ -158,15 +171,18 @@ def classify(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is
-    everything where there is no model. Repeated rows are answered each.
+    Null and empty texts and texts without a letter are ``und`` with score 0, as is
+    everything where there is no model. Very long texts are read whole. Repeated rows
+    are answered each, null ids too; an empty table gives no rows; other columns are
+    not read, so clashing names do no harm.
     """
+    name_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             lang, share = ["und"] * len(texts), np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+            rows = [i for i, t in enumerate(texts) if model and has_letter(t)]
             for i in range(0, len(rows), 256):
                 part = rows[i : i + 256]
                 ls, s = classify(model, np.stack([vector(texts[r]) for r in part]))

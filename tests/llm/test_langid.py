@@ -37,3 +37,19 @@ def test_odd_rows(spark):
     assert got == [("1", "und"), ("2", "und"), ("3", "und"), ("3", "und"), ("5", "en"), ("None", "en")]
     assert langid.fit(df.limit(0)) is None and langid.predict(df, None).where("lang_pred <> 'und'").count() == 0
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_letters_are_unicode_letters_only(spark):
+    odd = ["½", "② ²", "_ 5 ৪", "Ⅷ", "", None]
+    assert not any(langid.has_letter(t) for t in odd) and all(langid.has_letter(t) for t in ("ª", "ж", "½ x", "한", "ʰ"))
+    model = langid.fit(spark.createDataFrame(make(1, 40), SCHEMA))
+    df = spark.createDataFrame([(i, t, "en", "", "") for i, t in enumerate(odd)], SCHEMA)
+    assert {(r.lang_pred, r.score) for r in langid.predict(df, model).collect()} == {("und", 0.0)}
+    assert langid.fit(df) is None
+
+
+def test_the_sample_is_bounded_and_even(spark):
+    rows = [(i, f"the word {i}", "en" if i % 4 else "de", "", "") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert langid.fit(df, max_rows=20, each=15).members == {"germanic": ["de", "en"]}
+    assert langid.fit(df, max_rows=1).members == {"germanic": ["de"]} or langid.fit(df, max_rows=1).members == {"germanic": ["en"]}
