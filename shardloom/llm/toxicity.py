@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import checkpointed
+from shardloom.llm.common import checkpointed, name_package
 from shardloom.llm.ngrams import hashed
 
 SIZES = (3, 4, 5)
@@ -31,6 +31,10 @@ MAX_TOXIC = 4000
 MAX_OTHER = 8000
 #: Standard errors by which a feature's rates in the classes must differ.
 STANDS_OUT = 4.5
+#: Rows of the sample that a feature must occur in.
+LEAST_ROWS = 3
+#: Tasks that the sample is dealt out to.
+SAMPLE_TASKS = 12
 SMOOTH = 0.5
 
 
@@ -56,7 +60,7 @@ def _present(text: str, table: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many texts of each class each feature occurs."""
-    seen = np.zeros((2, 1 << BITS), dtype=np.uint16)
+    seen = np.zeros((2, 1 << BITS), dtype=np.uint32)
     n = [0, 0]
     for b in batches:
         for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -110,32 +114,35 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio:
     return w * ratio, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, stands_out: float = STANDS_OUT, least_rows: int = LEAST_ROWS) -> Model:
     """Fit on at most ``max_toxic + max_other`` labelled rows, by the order of a hash of their id.
 
     Rows with a null label or id are left out; of clashing labels of an id the
     larger counts; a null text counts as empty. Without rows of both classes
-    the model scores the only class known (no rows at all: 0).
+    the model scores the only class known (no rows at all: 0). A feature is kept
+    if it occurs in ``least_rows`` rows or more and its rates in the classes
+    differ by more than ``stands_out`` standard errors.
     """
+    name_package(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("y"))
-    ids = docs.select(F.col(id_col).alias("id")).distinct().join(known, "id")
+    ids = checkpointed(known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"))
     pick = None
     for y, most in ((1, max_toxic), (0, max_other)):
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         pick = part if pick is None else pick.union(part)
     # the picked ids are bounded by the two limits, so they may be broadcast, and texts are never shuffled
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = checkpointed(texts.join(F.broadcast(pick), "id").select("text", "y").coalesce(12))
+    sample = checkpointed(texts.join(F.broadcast(pick), "id").select("text", "y").repartition(SAMPLE_TASKS))
     seen, n = np.zeros((2, 1 << BITS), dtype=np.int32), np.zeros(2)
     for part in sample.mapInArrow(_counts, "seen binary, n0 long, n1 long").toLocalIterator():
-        seen += np.frombuffer(zlib.decompress(part.seen), dtype=np.uint16).reshape(2, -1)
+        seen += np.frombuffer(zlib.decompress(part.seen), dtype=np.uint32).reshape(2, -1)
         n += (part.n0, part.n1)
     if not n.all():
         return Model(np.empty(0, dtype=np.int64), np.empty(0), 20.0 if n[1] else -20.0)
-    some = np.nonzero(seen.sum(axis=0) >= 3)[0]
+    some = np.nonzero(seen.sum(axis=0) >= least_rows)[0]
     pooled = (seen[:, some].sum(axis=0) + 1) / (n.sum() + 2)
     z = (seen[1, some] / n[1] - seen[0, some] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    features = some[np.abs(z) > STANDS_OUT]
+    features = some[np.abs(z) > stands_out]
     p, q = (seen[1, features] + SMOOTH), (seen[0, features] + SMOOTH)
     ratio = np.log(p / (n[1] + 2 * SMOOTH)) - np.log(q / (n[0] + 2 * SMOOTH))
     got = sample.mapInArrow(_encoder(features), "x binary, y int").toArrow()
@@ -150,7 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): every row once; null and empty texts get the score of no features."""
+    """(id, score): every row once; null and empty texts get the score of no features.
+
+    Very long texts are read whole; repeated rows and null ids are answered each;
+    an empty table gives no rows; other columns are not read, so clashing names do no harm.
+    """
+    name_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.lookup()
@@ -164,7 +176,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``.
+
+    Each row is decided by its own text alone: repeated rows stay or go together,
+    ids may be null or repeat, extra columns pass through whatever their names. Null and
+    empty texts score as texts without features; a score of just ``threshold`` goes.
+    Very long texts are read whole. An empty table stays empty.
+    """
+    name_package(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
