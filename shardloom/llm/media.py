@@ -11,12 +11,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shardloom.llm.common import name_package
+
 OCTETS = "application/octet-stream"
 
 
@@ -125,28 +127,40 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+def _gzip(b: bytes, at: int, step: int = 1 << 16) -> int | None:
+    """Unpack to the end of the stream, a piece at a time."""
+    d, pos = zlib.decompressobj(31), at
     try:
-        part, pos = d.decompress(b[at:], 1 << 20), 0
         while not d.eof:
-            if not part and not d.unconsumed_tail:
+            if d.unconsumed_tail:
+                d.decompress(d.unconsumed_tail, 1 << 20)
+            elif pos < len(b):
+                piece = b[pos : pos + step]
+                pos += len(piece)
+                d.decompress(piece, 1 << 20)
+            elif not d.decompress(b"", 1 << 20):
                 return None
-            part, pos = d.decompress(d.unconsumed_tail, 1 << 20), pos + len(part)
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data)
+    return pos - len(d.unused_data) - at
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    """The first end record whose directory lies right before it."""
-    end = b.find(b"PK\x05\x06", at)
+@lru_cache(maxsize=1)
+def _archives(b: bytes) -> dict[int, int]:
+    """Start and end of every run of bytes whose end record's directory lies right before it; of a start the first."""
+    out: dict[int, int] = {}
+    end = b.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(b):
         size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(b):
-            return end + 22 + note - at
+        if end + 22 + note <= len(b):
+            out.setdefault(end - offset - size, end + 22 + note)
         end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    return out
+
+
+def _zip(b: bytes, at: int) -> int | None:
+    end = _archives(b).get(at)
+    return end and end - at
 
 
 def _pdf(b: bytes, at: int) -> int | None:
@@ -289,6 +303,7 @@ def media_column(df: DataFrame, blob_col: str, declared_col: str | None = None,
     A null blob has null results; an empty one is unknown; columns of ``df``
     that are named like a result are replaced; repeated rows are answered each.
     """
+    name_package(df.sparkSession)
     new = ("media_type", "corrected", "embedded")
     df = df.drop(*(c for c in df.columns if c in new))
     names = df.columns
@@ -313,7 +328,13 @@ def media_column(df: DataFrame, blob_col: str, declared_col: str | None = None,
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media (binary) of every text: its padded UTF-8 stored as a wave's samples."""
+    """id, n_bytes, media (binary) of every text: its padded UTF-8 stored as a wave's samples.
+
+    Null and empty texts have no bytes and a payload of padding. Very long texts are
+    stored whole; repeated rows and null ids are answered each; an empty table
+    gives no rows; other columns are not read.
+    """
+    name_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,10 +351,13 @@ def stored_digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests of media read back; the payload is carved from where the sniffer found the wave.
 
     ``feature`` names the type found and corrected, the samples, their mean and
-    spread, and each embedded format with its place.
+    spread, and each embedded format with its place. A null medium has null digests
+    and feature; one that is no wave is refused. Repeated rows are answered each.
     """
     import hashlib
 
+    name_package(media.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -341,6 +365,10 @@ def stored_digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows: list[list] = [[] for _ in range(6)]
             for blob in b.column(2):
                 raw = blob.as_py()
+                if raw is None:
+                    for col in rows:
+                        col.append(None)
+                    continue
                 kind, inner = inspect(raw, OCTETS)
                 if kind != "audio/wav":
                     raise ValueError("stored media is no wave")

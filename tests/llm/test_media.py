@@ -73,3 +73,9 @@ def test_digest_round_trip(spark):
         assert r.tail_crc32 == zlib.crc32(pay[-32:]) and r.media_sha256 == hashlib.sha256(media.to_wave(pay)).hexdigest()
     assert got[3].feature == got[6].feature
     assert media.stored_digest(media.text_media(df.limit(0))).count() == 0
+
+
+def test_a_null_medium_has_null_digests(spark):
+    df = spark.createDataFrame([(1, 3, None), (2, 0, media.to_wave(b"\xff" * 576))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.stored_digest(df).collect()}
+    assert got[1].n_bytes == 3 and got[1].payload_sha256 is None and got[1].feature is None and got[2].payload_bytes == 576
