@@ -59,3 +59,30 @@ def test_run_equals_the_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} >= {1, 2, 3}
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_each_stage_on_an_empty_table_and_on_rows_that_share_ids(spark, tmp_path):
+    path = str(tmp_path)
+    make(spark, path)
+    rng = random.Random(3)
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    fresh = [words(rng, 40) for _ in range(4)]
+    odd = [(None, fresh[0]), (None, fresh[1] + " " + item), (7, fresh[2]), (7, fresh[3] + " " + item), (7, fresh[2]), (8, None), (None, ""), (9, "x " * 30000)]
+    df = spark.createDataFrame([(d, t, "en", "s", 0, "x") for d, t in odd], DOCS)
+    want = {
+        "toxicity": odd,
+        "line_dedup": [(d, "x " * 30000 if d == 9 else (t and t.strip())) for d, t in odd],
+        "simhash_dedup": [odd[k] for k in (0, 1, 2, 3, 4, 5, 7)],
+        "decontamination": [odd[k] for k in (0, 2, 4, 5, 6, 7)],
+    }
+    clean = lambda rows: sorted(str((d, t and " ".join(t.split()))) for d, t in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), path).count() == 0
+        got = stage(spark, df, path)
+        if name in want:
+            assert got.columns == corpus_pipeline.COLUMNS
+            assert clean((r.doc_id, r.text) for r in got.collect()) == clean(want[name]), name
+        else:
+            pieces = got.collect()
+            assert sorted({str(r.doc_id) for r in pieces}) == sorted({str(d) for d, _ in odd})
+            assert sum(r.length for r in pieces if r.doc_id == 8) == 1  # a null text is its closing id
