@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import count
 
 from shardloom.errors import EngineError
 
@@ -76,3 +77,9 @@ def placeholders(sql: str) -> int:
 def check_arity(sql: str, args: list | tuple | None) -> None:
     if (want := placeholders(sql)) != (got := len(args or ())):
         raise EngineError(f"{want} placeholders, {got} bindings", "BINDINGS_MISMATCH")
+
+
+def numbered(sql: str) -> str:
+    """``?`` placeholders as $1, $2 and so on, for databases that number them."""
+    n = count(1)
+    return outside(sql, lambda text: re.sub(r"\?", lambda _: f"${next(n)}", text))

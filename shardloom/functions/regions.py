@@ -20,20 +20,22 @@ REGIONS = {
 }
 
 # The rules in their order; a continent rule holds together with its countries.
-COUNTRY_RULES: list[tuple[str, str, str | None]] = [
-    ("enam", "GL PM BM", None),
-    ("weur", "GB IE FR ES PT NL BE LU CH AT IT", None),
-    ("eeur", "DE PL CZ SK HU SI HR BA RS ME MK AL BG RO MD UA BY LT LV EE FI SE NO DK IS RU", None),
-    ("apac", "JP KR CN HK TW MO MN KP TH VN SG MY ID PH BN KH LA MM TL IN PK BD LK NP BT MV AF", None),
-    ("oc", "AU NZ PG FJ NC VU SB WS TO KI NR PW FM MH TV", None),
-    ("me", "AE SA QA KW BH OM YE IQ IR SY LB JO IL PS TR CY", None),
-    ("af", "EG LY TN DZ MA SD SS ET ER DJ SO", "AF"),
-    ("eeur", "KZ UZ TM TJ KG", None),
-    ("enam", "BR AR CL PE CO VE EC BO PY UY GY SR GF", "SA"),
-    ("enam", "GT BZ SV HN NI CR PA CU JM HT DO PR TT BB GD VC LC DM AG KN", None),
+COUNTRY_RULES: list[tuple[str, list[str], str | None]] = [
+    ("enam", ["GL", "PM", "BM"], None),
+    ("weur", ["GB", "IE", "FR", "ES", "PT", "NL", "BE", "LU", "CH", "AT", "IT"], None),
+    ("eeur", ["DE", "PL", "CZ", "SK", "HU", "SI", "HR", "BA", "RS", "ME", "MK", "AL", "BG", "RO", "MD", "UA", "BY", "LT", "LV", "EE", "FI", "SE", "NO", "DK", "IS"], None),
+    ("eeur", ["RU"], None),
+    ("apac", ["JP", "KR", "CN", "HK", "TW", "MO", "MN", "KP"], None),
+    ("apac", ["TH", "VN", "SG", "MY", "ID", "PH", "BN", "KH", "LA", "MM", "TL", "IN", "PK", "BD", "LK", "NP", "BT", "MV", "AF"], None),
+    ("oc", ["AU", "NZ", "PG", "FJ", "NC", "VU", "SB", "WS", "TO", "KI", "NR", "PW", "FM", "MH", "TV"], None),
+    ("me", ["AE", "SA", "QA", "KW", "BH", "OM", "YE", "IQ", "IR", "SY", "LB", "JO", "IL", "PS", "TR", "CY"], None),
+    ("af", ["EG", "LY", "TN", "DZ", "MA", "SD", "SS", "ET", "ER", "DJ", "SO"], "AF"),
+    ("eeur", ["KZ", "UZ", "TM", "TJ", "KG"], None),
+    ("enam", ["BR", "AR", "CL", "PE", "CO", "VE", "EC", "BO", "PY", "UY", "GY", "SR", "GF"], "SA"),
+    ("enam", ["GT", "BZ", "SV", "HN", "NI", "CR", "PA", "CU", "JM", "HT", "DO", "PR", "TT", "BB", "GD", "VC", "LC", "DM", "AG", "KN"], None),
 ]
 SPLIT_COUNTRIES = ["US", "CA", "MX"]
-WEST_STATES = "CA WA OR NV AZ UT".split()
+WEST_STATES = ["CA", "WA", "OR", "NV", "AZ", "UT"]
 WEST_ZONES = ["Pacific", "America/Los_Angeles"]
 
 
@@ -48,7 +50,7 @@ def closest_region(country: Column, continent: Column, state: Column, zone: Colu
     west = has(state, WEST_STATES) | has(zone, WEST_ZONES)
     out = F.when(country.isNull() | (country == ""), "wnam").when(country.isin(SPLIT_COUNTRIES), F.when(west, "wnam").otherwise("enam"))
     for region, countries, by in COUNTRY_RULES:
-        fits = country.isin(countries.split())
+        fits = country.isin(countries)
         if by:
             fits = fits | F.coalesce(continent == by, F.lit(False))
         out = out.when(fits, region)

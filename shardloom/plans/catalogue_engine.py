@@ -450,6 +450,13 @@ def refused_statements(spark, d):
     return frame(spark, out, "what string, code string")
 
 
+@query("SELECT * FROM (VALUES (0, 'SELECT $1, ''?'' FROM t WHERE a = $2 -- ?'), (1, 'SELECT 1')) t(place, statement)")
+def numbered_placeholders(spark, d):
+    """Placeholders as numbers, for databases that want them so."""
+    given = ["SELECT ?, '?' FROM t WHERE a = ? -- ?", "SELECT 1"]
+    return frame(spark, [(i, idents.numbered(s)) for i, s in enumerate(given)], "place int, statement string")
+
+
 # objects
 
 
