@@ -19,6 +19,7 @@ from shardloom.plans.catalogue import CUSTOMERS, GEO, ORDERS, SHARD_LIST, SHARDS
 from shardloom.plans.engine import Config, Engine
 from shardloom.sources import connectors, folders
 from shardloom.sources.cache import Cache, Lookups
+from shardloom.sources.databases import ClientDatabase, is_sql_database
 from shardloom.sources.kv import ClientKV, MemoryKV, all_keys, is_kv_store
 
 NATION_SHARD = shard("CAST(n_nationkey AS VARCHAR)")
@@ -111,6 +112,50 @@ def source_kinds(spark, d):
     return frame(spark, [(k, "none" if connectors.as_shard(spark, v) is None else "frame", bool(is_kv_store(v))) for k, v in given.items()], "source string, kind string, is_kv boolean")
 
 
+@query("SELECT n_nationkey AS k, n_name || CASE WHEN n_nationkey = 3 THEN '!' ELSE '' END AS v, c.client FROM nation, (VALUES ('connection'), ('query')) c(client) WHERE n_nationkey <> 4")
+def database_clients(spark, d):
+    """A connection and a client with numbered placeholders, under one shape."""
+    import sqlite3
+
+    class Client:
+        """Answers as (rows, fields), and changes by a summary."""
+
+        def __init__(self):
+            self.held = sqlite3.connect(":memory:")
+
+        def query(self, sql, args):
+            for i in range(len(args), 0, -1):
+                sql = sql.replace(f"${i}", f"?{i}")
+            cursor = self.held.execute(sql, args)
+            names = [c[0] for c in cursor.description or ()]
+            return ([dict(zip(names, r)) for r in cursor], names) if names else {"affectedRows": cursor.rowcount, "insertId": cursor.lastrowid}  # noqa: B905
+
+    out = []
+    for name, db in (("connection", ClientDatabase(sqlite3.connect(":memory:"))), ("query", ClientDatabase(Client(), "numeric"))):
+        db.run("CREATE TABLE n (k INTEGER PRIMARY KEY, v TEXT)")
+        for r in nations(spark, d):
+            if db.run("INSERT INTO n VALUES (?, ?)", [r.n_nationkey, r.n_name]).changes != 1:
+                raise RuntimeError(name)
+        if db.run("UPDATE n SET v = v || '!' WHERE k = ?", [3]).changes != 1 or db.first("SELECT v FROM n WHERE k = ? AND v <> '?'", [99]) is not None or not is_sql_database(db):
+            raise RuntimeError(name)
+        db.run("DELETE FROM n WHERE k = ?", [4])
+        out += [(r["k"], r["v"], name) for r in db.all("SELECT * FROM n")]
+    return frame(spark, out, "k int, v string, client string")
+
+
+@query("SELECT 4::BIGINT AS given, n_name AS name FROM nation WHERE n_nationkey = 0")
+def statement_inputs(spark, d):
+    """A statement as text, with its values, as a dict, and as an object that makes one."""
+
+    class Built:
+        def to_query(self):
+            return {"text": "SELECT n_name FROM nation WHERE n_nationkey = ?", "values": [0]}
+
+    e, sql = keyed(spark, d), "SELECT n_name FROM nation WHERE n_nationkey = ?"
+    got = [e.first("0", sql, [0]), e.first("0", (sql, [0])), e.first("0", {"sql": sql, "params": [0]}), e.first("0", Built())]
+    return frame(spark, [(len(got), n) for n in {r.n_name for r in got}], "given long, name string")
+
+
 # routing
 
 _STATEMENTS = {

@@ -9,6 +9,7 @@ from shardloom.operators.strategies import Allocation
 from shardloom.plans.engine import Config, Engine
 from shardloom.sources import connectors
 from shardloom.sources.cache import Cache, Lookups
+from shardloom.sources.databases import STYLES, ClientDatabase, read_database
 from shardloom.sources.kv import ClientKV, MemoryKV, all_keys, get_json, is_kv_store
 from shardloom.sources.tables import TableStore
 from shardloom.streaming.routed import routed, write_routed
@@ -279,3 +280,20 @@ def test_stream_is_routed_once(spark, tmp_path):
     for _ in range(2):
         write_routed(stream, store, "t", "id", Allocation(SHARDS), f"{tmp_path}/ck").awaitTermination()
     assert store.read("t").count() == 20
+
+
+def test_a_database_is_read_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    path = f"{tmp_path}/x.db"
+    c = sqlite3.connect(path)
+    c.execute("CREATE TABLE t (id INTEGER, name TEXT)")
+    c.executemany("INSERT INTO t VALUES (?, ?)", [*((i, f"n{i}") for i in range(-5, 95)), (None, "none")])
+    c.commit()
+    c.close()
+    for split in (None, ("id", 0, 80, 4), ("id", 0, 0, 1)):
+        df = read_database(spark, lambda: sqlite3.connect(path), "t", "id long, name string", split)
+        assert df.count() == 101 and {r.name for r in df.where("id is null").collect()} == {"none"}
+    raises("INVALID_IDENTIFIER", read_database, spark, None, "t; DROP", "id long")
+    raises("NO_SHARDS", ClientDatabase, object())
+    assert STYLES["format"]("SELECT '?%' FROM t WHERE a LIKE ? AND b % 2 = 1") == "SELECT '?%%' FROM t WHERE a LIKE %s AND b %% 2 = 1"
