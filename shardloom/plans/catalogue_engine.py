@@ -398,6 +398,17 @@ def current_engine(spark, d):
     return frame(spark, [(n, shards[0])], "n long, shard string")
 
 
+@query(f"SELECT shard, m.mode, true AS told FROM {SHARD_LIST}, (VALUES ('query-plan'), ('raw'), ('analyze')) m(mode)")
+def explain_modes(spark, d):
+    """The formatted plan, all stages of planning, and the plan as it ran, per shard: each names the pruned shard."""
+    e, out = _stored(spark, d, "nation", "n_nationkey"), []
+    marks = {"query-plan": "PartitionFilters", "raw": "Parsed Logical Plan", "analyze": "AdaptiveSparkPlan"}
+    for mode, mark in marks.items():
+        plans = e.explain_all("SELECT count(*) FROM nation", mode=mode)
+        out += [(s, mode, mark in p and s in p) for s, p in plans.items()]
+    return frame(spark, out, "shard string, mode string, told boolean")
+
+
 # schema
 
 
