@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,7 +58,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as Parquet in the shared checkpoint folder, and what deletes it there.
 
-    For large steps: compressed, and of known size to Catalyst. Delete it once
+    For large steps: compressed, of known size to Catalyst, and, unlike a
+    checkpoint, without a reference to the shuffles it was made by. Delete it once
     nothing lazy reads it any more.
     """
     spark = df.sparkSession
@@ -73,6 +75,16 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), forget
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner take shuffle files and checkpoints that nothing refers to any more.
+
+    It learns of them by the driver's garbage collection, which else may come long
+    after the next large step has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the value's decimal text, modulo ``n``."""
     c = F.col(col) if isinstance(col, str) else col

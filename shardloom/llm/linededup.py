@@ -31,6 +31,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardloom.llm.common import checkpointed, stored
+from shardloom.llm.common import checkpointed, name_package, release, stored
 
 #: Pieces that the rolling hash covers, and one in how many of its values ends a chunk.
 ROLL = 2
@@ -56,6 +58,13 @@ PAGE = 32
 _SENTENCE = re.compile(r"[^.!?]*+(?:[.!?]++(?=\S)[^.!?]*+)*+(?:[.!?]++\s*+)?")
 _UNIT = re.compile(r"\s*\S+\s*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd
+#: Bytes that are hashed at once.
+STEP = 1 << 18
+# White space as str.split has it, within ASCII and beyond.
+_SPACE = re.compile(rb"[\t-\r\x1c- ]")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_IS_SPACE = np.array([bool(_SPACE.match(bytes([k]))) for k in range(256)])
 
 
 @dataclass(frozen=True)
@@ -78,10 +87,13 @@ def pieces(text: str, long_line: int = LONG_LINE) -> tuple[list[str], list[bool]
     for line in text.split("\n"):
         n = len(line.split())
         bounds = n >= long_line or n == 0
-        parts = [s for s in _SENTENCE.findall(line) if s] if n >= long_line else [line]
-        parts[-1] += "\n"
-        out += parts
-        edge += [bounds or after, *[False] * (len(parts) - 1)]
+        edge.append(bounds or after)
+        if n >= long_line:
+            out += _SENTENCE.findall(line)[:-1]  # the last match is empty
+            edge += [False] * (len(out) - len(edge))
+            out[-1] += "\n"
+        else:
+            out.append(line + "\n")
         after = bounds
     out[-1] = out[-1][:-1]
     if not out[-1]:
@@ -103,11 +115,14 @@ def bounds(us: list[str], edge: list[bool], roll: int = ROLL, divisor: int = DIV
     h = [xxhash.xxh64_intdigest(u.strip().encode("utf-8", "surrogatepass")) for u in us]
     out = [0]
     for i in range(len(us) - 1):
-        rolled = 0
-        for k in range(max(0, i - roll + 1), i + 1):
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h[k]) & 0xFFFFFFFFFFFFFFFF
-        if edge[i + 1] or ((rolled >> 33) % divisor == 0 and i - out[-1] + 1 >= roll):
+        if edge[i + 1]:
             out.append(i + 1)
+        elif i - out[-1] + 1 >= roll:
+            rolled = 0
+            for x in h[max(0, i - roll + 1) : i + 1]:
+                rolled = (rolled * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
+            if (rolled >> 33) % divisor == 0:
+                out.append(i + 1)
     return [*out, len(us)]
 
 
@@ -130,14 +145,48 @@ def _eligible(n: int, body: str, least_words: int = LEAST_WORDS) -> bool:
     return len(body.split()) >= least_words
 
 
-class _Hashes(dict):
-    """Hashes of words, kept for the words met last."""
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of ``base``, modulo 2**64, from the 0th on."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+
+def _scaled(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of ranges from running sums (with a zero before), scaled back to their first."""
+    size = 1 << max(10, int(len(sums) - 1).bit_length())
+    return (sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), size)[start]
+
+
+def _sums(x: np.ndarray, base: int) -> np.ndarray:
+    size = 1 << max(10, int(len(x)).bit_length())
+    return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(x * _powers(base, size)[: len(x)], dtype=np.uint64)))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words of the texts, and the hashes of all their words, in order.
+
+    Words are as ``str.split`` finds them; bytes are hashed ``STEP`` at a time, whole words together.
+    """
+    raw = [_WIDE_SPACE.sub(" ", t).encode("utf-8", "surrogatepass") if not t.isascii() else t.encode() for t in texts]
+    ends = np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64))
+    whole = b" ".join(raw)
+    starts, out, at = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)], 0
+    while at < len(whole):
+        stop = len(whole)
+        if stop - at > STEP and (m := _SPACE.search(whole, at + STEP)):
+            stop = m.start()
+        b = np.frombuffer(whole, dtype=np.uint8, count=stop - at, offset=at)
+        word = np.concatenate(([False], ~_IS_SPACE[b], [False]))
+        turn = np.nonzero(word[1:] != word[:-1])[0]
+        s, t = turn[::2], turn[1::2]
+        h = _scaled(_sums(b.astype(np.uint64) + np.uint64(1), _BASES[0]), s, t, _BASES[0])
+        h = (h ^ (h >> np.uint64(31))) * _MIX
+        out.append(h ^ (h >> np.uint64(29)))
+        starts.append(s + at)
+        at = stop
+    return np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0), np.concatenate(out)
 
 
 def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -149,20 +198,21 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[width - have : width - have + n])
 
 
-def grams(texts: list[list[str]], hashes: _Hashes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash, second hash) of the grams that are kept: the least of every ``SPAN`` words in a row of a text."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+def grams(sizes: np.ndarray, w: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash, second hash) of the grams that are kept: the least of every ``span`` words in a row of a text.
+
+    ``sizes`` and ``w`` as of :func:`word_hashes`.
+    """
     ends = np.cumsum(sizes)
     none = np.empty(0, dtype=np.int64)
-    if not len(sizes) or ends[-1] < span:
+    if len(w) < span:
         return none, none, none, none
-    w = np.fromiter((hashes[x] for t in texts for x in t), dtype=np.uint64, count=int(ends[-1]))
     n, width = len(w) - gram + 1, span - gram + 1
-    h, h2 = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    for k in range(gram):
-        h = (h ^ w[k : k + n]) * _MIX
-        h ^= h >> np.uint64(29)
-        h2 = h2 * _MIX + w[k : k + n]
+    at = np.arange(n)
+    h, h2 = (_scaled(_sums(w, base), at, at + gram, base) for base in _BASES)
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    h ^= h >> np.uint64(32)
+    h2 ^= h2 >> np.uint64(32)
     changes = np.concatenate(([0], np.cumsum(w[1:] != w[:-1])))
     h[changes[gram - 1 :] == changes[:n]] = np.iinfo(np.uint64).max
     least = _sliding(h, width, np.minimum)
@@ -188,10 +238,9 @@ def _chunk_rows(docs: DataFrame, shape: Shape) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=["id", "copy", "place", "reach", "hash", "hash2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             rows: list[list] = [[] for _ in range(5)]
-            texts: list[list[str]] = []
+            texts: list[str] = []
             first = size = 0
             for r, t in enumerate(b.column(2)):
                 text = t.as_py() or ""
@@ -200,18 +249,17 @@ def _chunk_rows(docs: DataFrame, shape: Shape) -> DataFrame:
                     if open_ is not None:
                         rows[2][open_] |= n  # the chunk after it
                         open_ = None
-                    body = part.strip()
-                    if _eligible(n, body, least):
+                    if n >= least and (body := part.strip()):
                         d = xxhash.xxh128_intdigest(body.encode("utf-8", "surrogatepass"))
                         open_ = len(rows[0])
                         for col, v in zip(rows, (r, at << 32 | n << 1, before << 32, (d >> 64) - (1 << 63), d & low), strict=True):
                             col.append(v)
                     before = n
-                texts.append(text.split())
-                size += len(texts[-1])
-                if size >= 200_000 or r == b.num_rows - 1:
-                    k, at, h, h2 = grams(texts, hashes, span, gram)
-                    words = np.array([len(x) for x in texts], dtype=np.int64)
+                texts.append(text)
+                size += len(text)
+                if size >= STEP or r == b.num_rows - 1:
+                    words, w = word_hashes(texts)
+                    k, at, h, h2 = grams(words, w, span, gram)
                     reach = np.minimum(at, span - gram) << 32 | np.minimum(words[k] - at - gram, span - gram)
                     met = (k + first, at << 32 | gram << 1 | 1, reach, h, h2 & low)
                     yield out(b.column(0), b.column(1), [np.concatenate((np.array(v, dtype=np.int64), m)) for v, m in zip(rows, met, strict=True)])
@@ -226,11 +274,6 @@ def _placed(place: int) -> tuple[int, int, bool]:
     return place >> 32, (place & 0xFFFFFFFF) >> 1, bool(place & 1)
 
 
-def _equal_run(a: list[str], b: list[str]) -> int:
-    """How many first elements of two lists are equal."""
-    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-
-
 def _repeats(docs: DataFrame, shape: Shape) -> DataFrame:
     """(copy, place, copy1, place1, before, after): every later occurrence, its first one, and how far its removal may reach.
 
@@ -239,16 +282,20 @@ def _repeats(docs: DataFrame, shape: Shape) -> DataFrame:
     skew handling on the other. 64 bits pick what may repeat, 95 tell it.
     """
     every, forget = stored(_chunk_rows(docs, shape))
-    often = every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    some = checkpointed(every.join(often, "hash"))
-    forget()
+    # cut, so that both sides of the join are plain exchanges and a frequent hash is split
+    often, forget_often = stored(every.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"))
+    some, forget_some = stored(every.join(often, "hash"))
+    forget(), forget_often()
+    release(docs.sparkSession)
     first = F.min(F.struct("id", "copy", "place", "reach")).alias("f")
-    firsts = checkpointed(some.groupBy("hash", "hash2").agg(first, F.count("*").alias("times")).where("times > 1").select("hash", "hash2", F.col("f.id").alias("id1"), F.col("f.copy").alias("copy1"), F.col("f.place").alias("place1"), F.col("f.reach").alias("reach1")))
+    firsts, forget_firsts = stored(some.groupBy("hash", "hash2").agg(first, F.count("*").alias("times")).where("times > 1").select("hash", "hash2", F.col("f.id").alias("id1"), F.col("f.copy").alias("copy1"), F.col("f.place").alias("place1"), F.col("f.reach").alias("reach1")))
     same = F.col("id").eqNullSafe(F.col("id1")) & (F.col("copy") == F.col("copy1")) & (F.col("place") == F.col("place1"))
     low = F.lit(0xFFFFFFFF)
     least = lambda x, y: F.least(x, y).cast("int")
     before, after = least(F.shiftright("reach", 32), F.shiftright("reach1", 32)), least(F.col("reach").bitwiseAND(low), F.col("reach1").bitwiseAND(low))
-    return checkpointed(some.join(firsts, ["hash", "hash2"]).where(~same).select("copy", "place", "copy1", "place1", before.alias("before"), after.alias("after")))
+    out = checkpointed(some.join(firsts, ["hash", "hash2"]).where(~same).select("copy", "place", "copy1", "place1", before.alias("before"), after.alias("after")))
+    forget_some(), forget_firsts()
+    return out
 
 
 def _pages(marked: DataFrame, text_at: int) -> DataFrame:
@@ -274,33 +321,55 @@ def _pages(marked: DataFrame, text_at: int) -> DataFrame:
     return marked.mapInArrow(run, "copy1 long, page int, words string")
 
 
-def cut(text: str, again: list[dict], pages: list[dict], shape: Shape = Shape()) -> tuple[str, list[dict]]:
+_AGAIN = ("place", "copy1", "place1", "before", "after")
+
+
+def cut(text: str, again: dict[str, np.ndarray], pages: dict[tuple[int, int], str], shape: Shape = Shape()) -> tuple[str, list[dict]]:
     """The text without its repeats, and the runs of words (at, n) that were removed.
 
     ``again`` has place, copy1, place1, before and after of later occurrences,
-    ``pages`` copy1, page and words of their first ones.
+    ``pages`` the words of their first ones by copy1 and page. Occurrences that
+    stand alike in text and first text are compared in one stretch.
     """
     us, _ = units(text)
     bare = text.split()
-    words = {(p["copy1"], p["page"]): p["words"].split(" ") for p in pages}
     keep, more = np.ones(len(us), dtype=bool), np.zeros(len(us), dtype=bool)
-    for m in again:
-        (at, n, gram), (at1, _, _) = _placed(m["place"]), _placed(m["place1"])
-        low, high = at1 - m["before"], at1 + n + m["after"]
-        first = [w for k in range(low // PAGE, (high - 1) // PAGE + 1) for w in words.get((m["copy1"], k), ())]
-        x = at1 - low // PAGE * PAGE  # of the occurrence in what the pages hold
-        if first[x : x + n] != bare[at : at + n]:
-            continue
-        a = at - _equal_run(bare[at - m["before"] : at][::-1], first[x - m["before"] : x][::-1])
-        b = at + n + _equal_run(bare[at + n : at + n + m["after"]], first[x + n : x + n + m["after"]])
-        if not gram:
-            keep[a:b] = False
-        elif b - a >= shape.span:
-            more[a:b] = True
+    at, n = again["place"] >> 32, (again["place"] & 0xFFFFFFFF) >> 1
+    gram, shift = again["place"] & 1, (again["place1"] >> 32) - at
+    low, high = at - again["before"], at + n + again["after"]
+    order = np.lexsort((low, shift, again["copy1"]))
+    copy, shift, low, high, at, n, gram = (x[order] for x in (again["copy1"], shift, low, high, at, n, gram))
+    pair = np.cumsum(np.concatenate(([0], (copy[1:] != copy[:-1]) | (shift[1:] != shift[:-1])))) << 40
+    fresh = np.concatenate(([True], (pair + low)[1:] > np.maximum.accumulate(pair + high)[:-1]))
+    starts = np.nonzero(fresh)[0].tolist()
+    for s, t in zip(starts, [*starts[1:], len(copy)], strict=True):
+        x, y, by, own = int(low[s]), int(high[s:t].max()), int(shift[s]), int(copy[s])
+        a, b = (x + by) // PAGE, (y + by - 1) // PAGE
+        first = " ".join([pages.get((own, k), "") for k in range(a, b + 1)]).split(" ")[x + by - a * PAGE :][: y - x]
+        same = np.zeros(y - x, dtype=bool)
+        same[: len(first)] = np.fromiter(map(str.__eq__, bare[x:y], first), dtype=bool, count=min(len(first), len(bare[x:y])))
+        place = np.arange(y - x + 1)
+        bad = np.concatenate((~same, [True]))
+        until = np.minimum.accumulate(np.where(bad, place, y - x)[::-1])[::-1]  # first unequal word from here on
+        since = np.concatenate(([0], np.maximum.accumulate(np.where(bad, place + 1, 0))))  # equal words begin
+        i, j = at[s:t] - x, at[s:t] + n[s:t] - x
+        left, right = np.maximum(low[s:t] - x, since[i]) + x, np.minimum(high[s:t] - x, until[j]) + x
+        right = np.where(n[s:t] > 0, right, at[s:t])
+        for u, v, g, ok in zip(left.tolist(), right.tolist(), gram[s:t].tolist(), (until[i] >= j).tolist(), strict=True):
+            if ok and not g:
+                keep[u:v] = False
+            elif ok and v - u >= shape.span:
+                more[u:v] = True
     for x, y in _runs(more & keep):
         keep[x:y] = y - x < shape.gram
     gone = [{"at": x, "n": y - x} for x, y in _runs(~keep)]
-    return "".join(u for u, k in zip(us, keep, strict=True) if k).strip() if gone else text, gone
+    return "".join(compress(us, keep.tolist())).strip() if gone else text, gone
+
+
+def _lists(col: pa.Array, fields: tuple[str, ...]) -> tuple[list[int], list[int], list[pa.Array]]:
+    """Starts and ends of a column of lists of structs, and the structs' fields side by side."""
+    ends = col.offsets.to_pylist()
+    return ends[:-1], ends[1:], [col.values.field(f) for f in fields]
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -323,6 +392,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Both joins with the documents need the same exchange of all their columns,
     which Spark then runs once.
     """
+    name_package(docs.sparkSession)
     docs = docs.drop("removed")
     names, at = docs.columns, docs.columns.index(text_col)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -331,6 +401,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = F.shiftright("place1", 32)
     low, high = words - F.col("before"), words + F.shiftright(F.col("place1").bitwiseAND(F.lit(0xFFFFFFFF)), 1) + F.col("after")
     page = lambda w: F.floor(w / PAGE).cast("int")
+    release(docs.sparkSession)
     asked = checkpointed(later.select("copy", "copy1", F.explode(F.sequence(page(low), page(high - 1))).alias("page")).distinct())
     whole = docs.withColumn("__copy", key)
     marks = asked.groupBy("copy1").agg(F.collect_set("page").alias("pages"))  # a text's own pages at most
@@ -345,9 +416,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, gone = b.column(at).to_pylist(), [[]] * b.num_rows
-            for i, (again, pages) in enumerate(zip(b.column(len(names)), b.column(len(names) + 1), strict=True)):
-                if again.is_valid and texts[i]:
-                    texts[i], gone[i] = cut(texts[i], again.as_py(), pages.as_py(), shape)
+            marked = b.column(len(names)).is_valid().to_pylist()
+            x, y, again = _lists(b.column(len(names)), _AGAIN)
+            p, q, (copy, page, words) = _lists(b.column(len(names) + 1), ("copy1", "page", "words"))
+            again = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in again]
+            for i, text in enumerate(texts):
+                if marked[i] and text:
+                    own = slice(p[i], q[i])
+                    pages = dict(zip(zip(copy[own].to_pylist(), page[own].to_pylist(), strict=True), words[own].to_pylist(), strict=True))
+                    texts[i], gone[i] = cut(text, dict(zip(_AGAIN, (c[x[i] : y[i]] for c in again), strict=True)), pages, shape)
             cols = list(b.columns)[: len(names)]
             cols[at] = pa.array(texts, b.column(at).type)
             cols.append(pa.array(gone, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))))
