@@ -21,7 +21,9 @@ similarity of their shingle sets (:func:`similar_groups`) the fingerprint has
 192 bits, of which eight segments of 23 bits are decoded; neighbouring segments
 make a key, so texts of similarity 0.8 meet in nine cases of ten and those of
 0.9 nearly always. The distance over all bits picks the candidates whose
-shingle sets are then compared exactly.
+shingle sets are then compared exactly. Texts of few shingles, whose bits are too
+coarse for that, also meet by a prefix filter over their rarest shingles, which
+misses none.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import golay
-from shardloom.llm.common import checkpointed
+from shardloom.llm.common import checkpointed, name_package, release, stored
 from shardloom.llm.components import connected_components
 
 MAX_BITS = 4
@@ -47,6 +49,9 @@ RUN = 2048
 SHORT_RUN = 32
 #: Nodes of an unsettled family that a task holds, with their texts, of either side of a comparison.
 BLOCK = 256
+#: Texts of so many distinct shingles at most are also compared by an exact prefix filter; rows of one of its keys that a task compares.
+FEW = 25
+FEW_RUN = 256
 #: 64-bit words of a wide fingerprint, and its segments of 23 bits.
 WORDS = 3
 WIDE_SEGMENTS = 8
@@ -84,6 +89,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=[id_col, "fp"])
 
+    name_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
@@ -127,28 +133,24 @@ def _rows_of_keys(batches: Iterator[pa.RecordBatch], keys: Callable) -> Iterator
 
 
 def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest, nearest first, of a run's distinct fingerprints of at most ``bits`` apart."""
-    u = fp.view(np.uint64)
-    found: list[np.ndarray] = []
-    for i in range(len(fp) - 1):
-        d = np.bitwise_count(u[i + 1 :] ^ u[i])
-        j = np.nonzero(d <= bits)[0]
-        found.append(np.stack([d[j].astype(np.int64), np.full(len(j), i), j + i + 1]))
-    pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), dtype=np.int64)
-    root, out = list(range(len(fp))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for k in np.argsort(pairs[0], kind="stable").tolist():
-        i, j = int(pairs[1, k]), int(pairs[2, k])
-        if (x := find(i)) != (y := find(j)):
-            root[max(x, y)] = min(x, y)
-            out.append((int(fp[i]), int(fp[j])))
-    return out
+    """A spanning forest, nearest first, of a run's distinct fingerprints of at most ``bits`` apart.
+
+    Grown from one fingerprint at a time, which keeps the nearest so far of each
+    that is left: memory follows the run's rows, never its pairs.
+    """
+    left, u = np.arange(len(fp)), fp.view(np.uint64)
+    near, via = np.full(len(fp), 65, dtype=np.uint8), np.zeros(len(fp), dtype=np.int64)
+    out: list[tuple[int, int]] = []
+    while len(left):
+        k = int(near[left].argmin())
+        i = int(left[k])
+        if near[i] <= bits:
+            out.append((int(fp[via[i]]), int(fp[i])))
+        left = np.delete(left, k)
+        d = np.bitwise_count(u[left] ^ u[i])
+        closer = left[d < near[left]]
+        near[closer], via[closer] = d[d < near[left]], i
+    return [(min(e), max(e)) for e in out]
 
 
 def _linker(bits: int, run_rows: int):
@@ -225,12 +227,21 @@ def _linker(bits: int, run_rows: int):
     return link
 
 
-def _meet(nodes: DataFrame, keys: Callable, bits: int, run_rows: int) -> DataFrame:
-    """(a, b): links among nodes (first column, others are handed to ``keys``) that share a key."""
+def _meet(nodes: DataFrame, keys: Callable, bits: int, run_rows: int, done: list[Callable[[], None]] | None = None) -> DataFrame:
+    """(a, b): links among nodes (first column, others are handed to ``keys``) that share a key.
+
+    With ``done`` what was met is stored, free of the keys' shuffle, and what deletes it is appended there.
+    """
     rows = nodes.mapInArrow(lambda batches: _rows_of_keys(batches, keys), "key long, fp long")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits, run_rows), "kind int, a long, b long")
-    met = checkpointed(met)
+    if done is None:
+        met = checkpointed(met)
+    else:
+        met, forget = stored(met)
+        done.append(forget)
+    del rows
+    release(nodes.sparkSession)
     found = met.where("kind = 0").select("a", "b")
     hot = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if hot.isEmpty():
@@ -270,7 +281,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 4,
     """
     marked = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     firsts = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
-    comps = checkpointed(connected_components(links(firsts, max_bits)))
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
+    done: list[Callable[[], None]] = []
+    comps = checkpointed(connected_components(_meet(firsts.select("fp"), keys_of, max_bits, RUN, done)))
+    for forget in done:
+        forget()
     least = comps.join(firsts, comps.node == firsts.fp).groupBy("root").agg(F.min("first").alias("component_id"))
     named = comps.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     # cut here, so that both sides of the last join are plain exchanges and a frequent fingerprint is split
@@ -278,22 +294,24 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = 4,
     return marked.join(every, "fp").select(id_col, "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
-    """SimHash of ``WORDS`` 64-bit words over the set of a text's word shingles.
-
-    Words and short texts as in :func:`fingerprint`; no words: all zero.
-    """
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes, ascending, of a text's word shingles (words and short texts as in :func:`fingerprint`)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return (0,) * WORDS
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(joined)], dtype=np.uint64)
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends[:-shingle])]
-        digest = xxhash.xxh64_intdigest
-        h = np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype=np.uint64))
+        return np.array([xxhash.xxh64_intdigest(joined)], dtype=np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype=np.uint64))
+
+
+def wide_of(h: np.ndarray) -> tuple[int, ...]:
+    """SimHash of ``WORDS`` 64-bit words of a set of hashes; of none: all zero."""
+    if not len(h):
+        return (0,) * WORDS
     out = []
     for k in range(WORDS):
         g = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -306,6 +324,11 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
     return tuple(out)
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, ...]:
+    """SimHash of ``WORDS`` 64-bit words over the set of a text's word shingles; no words: all zero."""
+    return wide_of(shingle_hashes(text, shingle))
+
+
 def wide_keys(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row number, key): nearby codewords of each two neighbouring segments (the last's neighbour is the first)."""
     codes = []
@@ -347,17 +370,28 @@ def jaccard(a: set, b: set) -> float:
 
 
 def _wide(docs: DataFrame, shingle: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    """(id, copy, f0, f1, f2[, text]) of every row; ``copy`` is a hash of the text, so that rows sharing an id stay apart."""
+    """(id, copy, node, few, f0, f1, f2[, text]) of every row; ``copy`` is a hash of the text, so that rows sharing an id stay apart.
+
+    ``node`` is a hash of the whole set of shingles: texts of one node have equal sets. ``few``:
+    that set's hashes, where there are ``FEW`` at most.
+    """
     names = [f"f{k}" for k in range(WORDS)]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            cols = [b.column(0), b.column(2), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))]
-            yield pa.RecordBatch.from_arrays(cols + [b.column(1)] * with_text, names=[id_col, "copy", *names] + ["text"] * with_text)
-
-    schema = f"`{id_col}` {kind}, copy long, " + ", ".join(f"{n} long" for n in names) + ", text string" * with_text
+            node, wide, few = [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), shingle)
+                node.append(xxhash.xxh64_intdigest(h.tobytes()))
+                wide.append(wide_of(h))
+                few.append(h.view(np.int64) if len(h) <= FEW else None)
+            f = np.array(wide, dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            cols = [b.column(0), b.column(2), pa.array(np.array(node, dtype=np.uint64).view(np.int64), pa.int64()), pa.array(few, pa.list_(pa.int64())), *(pa.array(f[:, k], pa.int64()) for k in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(cols + [b.column(1)] * with_text, names=[id_col, "copy", "node", "few", *names] + ["text"] * with_text)
+
+    name_package(docs.sparkSession)
+    schema = f"`{id_col}` {kind}, copy long, node long, few array<long>, " + ", ".join(f"{n} long" for n in names) + ", text string" * with_text
     return docs.select(id_col, text_col, F.xxhash64(text_col).alias("copy")).mapInArrow(run, schema)
 
 
@@ -376,31 +410,91 @@ def _verified(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of the nodes in ``asked``: a small part of the table, found by id and text hash."""
-    wanted = asked.join(nodes, asked.node == nodes.f0).select(F.col("first").alias("__first"), F.col("copy").alias("__copy"))
-    some = docs.select(id_col, text_col).join(wanted, docs[id_col].eqNullSafe(F.col("__first")) & (F.xxhash64(docs[text_col]) == F.col("__copy")), "left_semi")
-    least = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "text")).alias("m")
-    return checkpointed(_wide(some, shingle, id_col, text_col, True).groupBy(F.col("f0").alias("node")).agg(least).select("node", F.col("m.text").alias("text")))
+    wanted = asked.join(nodes, "node").select("node", F.col("first").alias("__first"), F.col("copy").alias("__copy"))
+    some = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"))
+    some = some.join(wanted, (F.col("__h") == F.col("__copy")) & F.col("__id").eqNullSafe(F.col("__first")))
+    # rows that repeat id and text are one
+    return some.groupBy("node").agg(F.min("text").alias("text"))
+
+
+def _few_links(nodes: DataFrame, similarity: float, run_rows: int = FEW_RUN) -> DataFrame:
+    """(a, b): links that join all similar nodes of few shingles (node, few), exactly.
+
+    Two sets of this similarity share a shingle among the ``n - ceil(similarity * n) + 1``
+    rarest of each, whatever their sizes. Shingles of one node alone come first in
+    that order and meet nothing, so most nodes have no key. A key's rows are dealt into
+    blocks, pairs of which are compared, so that no task holds more than two.
+    """
+    each = nodes.where("size(few) > 0").select("node", F.explode("few").alias("sh"))
+    often = checkpointed(each.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = each.join(often, "sh").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "sh"))).alias("shared"))
+    size = F.size("few")
+    keep = size - F.ceil(F.lit(similarity) * size - 1e-9) + 1 - (size - F.size("shared"))
+    keys = nodes.select("node", "few").join(shared, "node").where(keep > 0).select("node", "few", F.explode(F.slice("shared", F.lit(1), keep.cast("int"))).alias("k"))
+    keys = checkpointed(keys.select("node", "few", F.col("k.sh").alias("sh")))
+    runs = keys.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select("sh", F.ceil(F.col("n") / run_rows).cast("int").alias("n"))
+    dealt = keys.join(checkpointed(runs), "sh").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    dealt = dealt.select("sh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "few")
+
+    def forest(rows: list[tuple[int, set]]) -> list[tuple[int, int]]:
+        out, left = [], rows
+        while left:
+            todo, left = [left[0]], left[1:]
+            while todo:
+                a, own = todo.pop()
+                rest = []
+                for b, other in left:
+                    small, large = sorted((len(own), len(other)))
+                    if small >= similarity * large and jaccard(own, other) >= similarity:
+                        out.append((min(a, b), max(a, b)))
+                        todo.append((b, other))
+                    else:
+                        rest.append((b, other))
+                left = rest
+        return out
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, {}
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for key, node, few in zip(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), b.column(3).to_pylist(), b.column(4), strict=True):
+                if key != last:
+                    found += forest(list(rows.items()))
+                    last, rows = key, {}
+                rows[node] = set(few.as_py())
+            yield edges(found)
+        yield edges(forest(list(rows.items())))
+
+    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "sh", "x", "y").sortWithinPartitions("sh", "x", "y").mapInArrow(link, "a long, b long")
 
 
 def _unsettled(pairs: DataFrame, found: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """(family, x, y, own, f0, f1, f2, comp): nodes to compare again, dealt into pairs of blocks.
+    """(family, x, y, side, node, f0, f1, f2, comp): nodes to compare again, dealt into pairs of blocks.
 
     A family is what the candidates ``pairs`` connect. All pairs that met are
     inside one, but a run passes on a forest only, so where the exact comparison
     has left several components, pairs that were not passed on may join them.
-    In a family of two nothing was left out.
+    Nodes outside the family's largest component (side 0) meet all of other
+    components (side 1). In a family of two nothing was left out.
     """
     family, comps = connected_components(pairs), connected_components(found)
     comps = comps.select(F.col("node").alias("n2"), F.col("root").alias("comp"))
     named = checkpointed(family.join(comps, family.node == comps.n2, "left").select("node", F.col("root").alias("family"), F.coalesce("comp", "node").alias("comp")))
-    left = named.groupBy("family").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("n > 2 and c1 != c2")
-    left = left.select("family", F.ceil(F.col("n") / block).cast("int").alias("n"))
-    dealt = named.join(left, "family").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
-    dealt = dealt.join(nodes, dealt.node == nodes.f0)
-    return checkpointed(dealt.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *[f"f{k}" for k in range(WORDS)], "comp"))
+    sizes = named.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    left = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most")).where("n > 2 and n > most.n")
+    left = left.select("family", F.col("most.comp").alias("largest"), F.ceil(F.col("n") / block).cast("int").alias("n"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("r"))
+    some = checkpointed(named.join(left, "family").join(nodes.select("node", *[f"f{k}" for k in range(WORDS)]), "node"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    cols = ["node", *[f"f{k}" for k in range(WORDS)], "comp"]
+    rest = some.where("comp != largest").select("family", own("r").alias("x"), F.explode(F.expr("sequence(0, n - 1)")).alias("y"), F.lit(0).alias("side"), *cols)
+    whole = some.select("family", F.explode(F.expr("sequence(0, r - 1)")).alias("x"), own("n").alias("y"), F.lit(1).alias("side"), *cols)
+    return checkpointed(rest.union(whole))
 
 
 def _joined(dealt: DataFrame, texts: DataFrame, limit: int, similarity: float, shingle: int) -> DataFrame:
@@ -408,13 +502,13 @@ def _joined(dealt: DataFrame, texts: DataFrame, limit: int, similarity: float, s
 
     def compare(t: pa.Table) -> pa.Table:
         f = [t.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WORDS)]
-        comp, own = t.column("comp").to_numpy(), t.column("own").to_numpy()
-        across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+        comp, side, node = t.column("comp").to_numpy(), t.column("side").to_numpy(), t.column("node").to_numpy()
+        right = np.nonzero(side == 1)[0]
         met: list[np.ndarray] = [np.empty((3, 0), dtype=np.int64)]
-        for i in range(len(comp) - 1):
-            d = sum(np.bitwise_count(w[i + 1 :] ^ w[i]).astype(np.int64) for w in f)
-            j = np.nonzero((d <= limit) & (comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (not across)))[0]
-            met.append(np.stack([d[j], np.full(len(j), i), j + i + 1]))
+        for i in np.nonzero(side == 0)[0].tolist():
+            d = sum(np.bitwise_count(w[right] ^ w[i]).astype(np.int64) for w in f)
+            use = (d <= limit) & (comp[right] != comp[i])
+            met.append(np.stack([d[use], np.full(int(use.sum()), i), right[use]]))
         pairs = np.concatenate(met, axis=1)
         root: dict[int, int] = {}
         sets: dict[int, set] = {}
@@ -434,11 +528,11 @@ def _joined(dealt: DataFrame, texts: DataFrame, limit: int, similarity: float, s
             i, j = int(pairs[1, k]), int(pairs[2, k])
             if (u := find(int(comp[i]))) != (v := find(int(comp[j]))) and jaccard(of(i), of(j)) >= similarity:
                 root[max(u, v)] = min(u, v)
-                a.append(int(f[0].view(np.int64)[i]))
-                b.append(int(f[0].view(np.int64)[j]))
+                a.append(int(node[i]))
+                b.append(int(node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.join(texts, dealt.f0 == texts.node).drop("node").groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
+    return dealt.join(texts, "node").groupBy("family", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", run_rows: int = RUN) -> DataFrame:
@@ -447,11 +541,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     Texts link whose sets of word shingles share ``similarity`` or more.
     Candidates are those that share a key and whose distance is at most two and
     a half standard errors beyond what that similarity lets expect; only the
-    texts of candidates are looked at again. Runs pass on forests of candidates;
-    where the exact comparison splits what they connect, all pairs between the
-    parts are looked at. Texts whose first 64 bits agree
-    are one node, of which the least id's text stands for all. Nulls, copies
-    and empty tables as in :func:`near_duplicates`.
+    texts of candidates are looked at again, and every link is compared exactly. Runs pass on
+    forests of candidates; where the exact comparison splits what they connect,
+    all pairs between the parts are looked at. Of texts of ``FEW`` distinct shingles or
+    less no link is missed. Only texts of equal shingle sets are
+    one node. Nulls, copies and empty tables as in :func:`near_duplicates`.
     """
     return _groups(docs, similarity, shingle, id_col, text_col, run_rows).drop("copy")
 
@@ -463,24 +557,42 @@ def _groups(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_
     names = [f"f{k}" for k in range(WORDS)]
     marked = checkpointed(_wide(docs, shingle, id_col, text_col, False))
     least = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "copy")).alias("l")  # nulls last
-    nodes = checkpointed(marked.groupBy("f0").agg(least, F.min(F.struct(*names[1:])).alias("w")).select("f0", F.col("l.id").alias("first"), F.col("l.copy").alias("copy"), *[F.col(f"w.{n}").alias(n) for n in names[1:]]))
-    pairs = checkpointed(_meet(nodes.select(*names), wide_keys, limit(64), run_rows).distinct())
-    a, b = nodes.select(*[F.col(n).alias(f"a_{n}") for n in names]), nodes.select(*[F.col(n).alias(f"b_{n}") for n in names])
-    both = pairs.join(a, pairs.a == a.a_f0).join(b, pairs.b == b.b_f0)
+    nodes = marked.groupBy("node").agg(least, F.first("few").alias("few"), *[F.first(n).alias(n) for n in names])
+    nodes = checkpointed(nodes.select("node", F.col("l.id").alias("first"), F.col("l.copy").alias("copy"), "few", *names))
+    exact = checkpointed(_few_links(nodes, similarity).distinct())
+    # runs are of first words; the least node of each stands for it, and is a candidate of its others
+    prints = checkpointed(nodes.groupBy("f0").agg(F.min(F.struct("node", *names[1:])).alias("m")).select("f0", F.col("m.node").alias("node"), *[F.col(f"m.{n}").alias(n) for n in names[1:]]))
+    done: list[Callable[[], None]] = []
+    met = _meet(prints.select(*names), wide_keys, limit(64), run_rows, done)
+    met = met.join(prints.select(F.col("f0").alias("a"), F.col("node").alias("na")), "a").join(prints.select(F.col("f0").alias("b"), F.col("node").alias("nb")), "b")
+    alike = nodes.select("f0", F.col("node").alias("b")).join(prints.select("f0", F.col("node").alias("a")), "f0").where("a != b")
+    a, b = (nodes.select(F.col("node").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names]) for x in ("a", "b"))
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    near = checkpointed(both.where(apart <= limit(64 * WORDS)).select("a", "b"))
-    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(docs, nodes, asked, shingle, id_col, text_col)
-    ta, tb = texts.select(F.col("node").alias("na"), F.col("text").alias("ta")), texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
-    ready = near.join(ta, F.col("a") == F.col("na")).join(tb, F.col("b") == F.col("nb")).sortWithinPartitions("a")
+    every = met.select(F.col("na").alias("a"), F.col("nb").alias("b")).union(alike.select("a", "b")).distinct()
+    every = every.join(a, "a").join(b, "b").select("a", "b", apart.alias("apart"))
+    # farther apart than texts of half the similarity: they met by chance, and would tie all families together
+    pairs, forget = stored(every.where(F.col("apart") <= round(64 * WORDS * differing_share(similarity / 2))))
+    done.append(forget)
+    del met, alike, every
+    release(docs.sparkSession)
+    near = checkpointed(pairs.where(F.col("apart") <= limit(64 * WORDS)).select("a", "b"))
+    pairs = pairs.select("a", "b")
+    # of all that met, so that texts are fetched once for both comparisons
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts, forget = stored(_texts(docs, nodes, asked, id_col, text_col))
+    done.append(forget)
+    release(docs.sparkSession)
+    ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    ready = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").sortWithinPartitions("a")
     found = checkpointed(_verified(ready, similarity, shingle))
-    dealt = _unsettled(pairs, found, nodes.select(*names), block)
-    again = _texts(docs, nodes, dealt.select(F.col("f0").alias("node")).distinct(), shingle, id_col, text_col)
-    comps = checkpointed(connected_components(found.union(_joined(dealt, again, limit(64 * WORDS), similarity, shingle))))
-    least = comps.join(nodes, comps.node == nodes.f0).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = comps.join(least, "root").select(F.col("node").alias("f0"), "component_id")
-    every = checkpointed(nodes.join(named, "f0", "left").select("f0", F.coalesce("component_id", "first").alias("component_id")))
-    return marked.join(every, "f0").select(id_col, "copy", "component_id")
+    dealt = _unsettled(pairs, found, nodes, block)
+    comps = checkpointed(connected_components(found.union(exact).union(_joined(dealt, texts, limit(64 * WORDS), similarity, shingle))))
+    for forget in done:
+        forget()
+    least = comps.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = comps.join(least, "root").select("node", "component_id")
+    every = checkpointed(nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")))
+    return marked.join(every, "node").select(id_col, "copy", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

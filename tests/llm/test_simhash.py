@@ -195,3 +195,66 @@ def test_a_forest_through_a_refused_text_costs_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_meet", lambda *_: forest)
     df = spark.createDataFrame([(1, a, "", ""), (2, b, "", ""), (3, c, "", "")], SCHEMA)
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_texts_of_few_shingles_miss_no_link(spark):
+    rng = random.Random(31)
+    common = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(13))  # a line that a third of the texts hold
+    rows = []
+    for i in range(260):
+        n = rng.choice([5, 6, 8, 9, 10, 12, 14, 20, 28])
+        text = (common + " " if i % 3 == 0 else "") + " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n if i % 3 else rng.choice([1, 1, 2, 5])))
+        w = text.split()
+        at = rng.choice([0, len(w)])
+        rows += [(2 * i, text, "", ""), (2 * i + 1, " ".join([*w[:at], "added", *w[at:]]), "", "")]
+    sets = {d: simhash.shingles(t) for d, t, *_ in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    few = [d for d in sets if len(sets[d]) <= simhash.FEW]
+    for x, a in enumerate(few):
+        for b in few[:x]:
+            if simhash.jaccard(sets[a], sets[b]) >= 0.8:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[d] == got[find(d)] for d in few) and len({got[d] for d in few}) == len({find(d) for d in few})
+    nodes = spark.createDataFrame([(d, simhash.shingle_hashes(t).view(np.int64).tolist()) for d, t, *_ in rows if len(sets[d]) <= simhash.FEW], "node long, few array<long>")
+    for block in (256, 5):
+        comps = {r.node: r.root for r in connected_components(simhash._few_links(nodes, 0.8, block)).collect()}
+        assert all(comps.get(d, d) == find(d) for d in few)
+
+
+def test_recall_end_to_end_near_the_limit(spark):
+    rng = random.Random(17)
+    rows, pairs = [], []
+    for i in range(260):
+        n = rng.choice([30, 60, 150, 400])
+        text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+        near = text.split()
+        while jaccard(text, " ".join(near)) > 0.85:
+            at = rng.randrange(len(near))
+            near[at : at + 1] = ["".join(rng.choices("ijkl", k=6))]
+        j = jaccard(text, " ".join(near))
+        if j >= 0.8:
+            pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, text, "", ""), (2 * i + 1, " ".join(near), "", "")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    met = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 100 and met >= 0.9 * len(pairs)
+
+
+def test_a_forest_takes_memory_by_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    fp = (np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 14, 4096, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4096, dtype=np.uint64))).view(np.int64)
+    fp = np.unique(np.concatenate((fp, rng.integers(0, 1 << 62, 4096 - len(np.unique(fp))))))
+    tracemalloc.start()
+    out = simhash._forest(fp, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == len(fp) - 1 and peak < 100e6
