@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return this process's freed memory, Arrow's and C's, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for ``mapInArrow``, over ``rows`` rows at a time, after which the worker gives back what it has freed.
+
+    Workers live on after a task and serve later steps; what one step's batches took, and the
+    last batch that was handed on, would else stand beside the memory of those.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        give_back()
+
+    return out
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the value's decimal text, modulo ``n``."""
     c = F.col(col) if isinstance(col, str) else col

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import checkpointed, name_package
+from shardloom.llm.common import checkpointed, lean, name_package
 from shardloom.llm.tokens import grouped, words
 
 WINDOW = 4096
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, open_windows: i
         return pa.Table.from_batches([_batch(t.column(id_col).type, id_col, windows, with_ids, None)])
 
     name_package(docs.sparkSession)
-    pieces = checkpointed(docs.select(id_col, text_col).mapInArrow(run, schema))
+    pieces = checkpointed(docs.select(id_col, text_col).mapInArrow(lean(run), schema))
     # at most one window of ids per task meets in a group of GROUP tasks
     merged = pieces.where("rest is not null").groupBy(F.floor(F.col("rest") / GROUP).alias("part")).applyInArrow(merge, schema)
     out = pieces.where("rest is null").union(merged).drop("rest")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import golay
-from shardloom.llm.common import checkpointed, name_package, release, stored
+from shardloom.llm.common import checkpointed, lean, name_package, release, stored
 from shardloom.llm.components import connected_components
 
 MAX_BITS = 4
@@ -392,7 +392,7 @@ def _wide(docs: DataFrame, shingle: int, id_col: str, text_col: str, with_text:
 
     name_package(docs.sparkSession)
     schema = f"`{id_col}` {kind}, copy long, node long, few array<long>, " + ", ".join(f"{n} long" for n in names) + ", text string" * with_text
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("copy")).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("copy")).mapInArrow(lean(run), schema)
 
 
 def _verified(pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:

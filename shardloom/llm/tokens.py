@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
@@ -21,8 +22,9 @@ _NUMBER = "0-9²³¹¼½¾"
 _SPACE = r" \t-\r\x85\xa0"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _BLANK = re.compile(r"[ \t-\r]+")
-#: Words that a worker remembers at most; then it starts afresh.
-REMEMBER = 1_000_000
+#: Words that a worker remembers at most, some 50 MB; then all but the first ``KEEP`` go, which are mostly the frequent ones.
+REMEMBER = 1 << 18
+KEEP = 1 << 16
 
 
 class WordCache:
@@ -37,8 +39,6 @@ class WordCache:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBER:
-            self.known.clear()
         todo = list(words)
         for i in range(0, len(todo), 512):
             part = todo[i : i + 512]
@@ -73,12 +73,12 @@ class WordCache:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; words that are new in any of them are learned together."""
         cut = [None if any(s in t for s in self.special) else self._words(t) for t in texts]
-        new = set().union(*(w for w in cut if w is not None)).difference(self.known)
-        if new:
-            before = len(self.known)
-            self._learn(new)
-            if len(self.known) < before:  # it started afresh
-                self._learn(set().union(*(w for w in cut if w is not None)))
+        every = set().union(*(w for w in cut if w is not None))
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > REMEMBER:
+            self.known = dict(islice(self.known.items(), KEEP))
+            new = every.difference(self.known)
+        self._learn(new)
         known = self.known.__getitem__
         return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, cut, strict=True)]
 

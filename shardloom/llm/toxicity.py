@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import checkpointed, name_package
+from shardloom.llm.common import checkpointed, lean, name_package
 from shardloom.llm.ngrams import hashed
 
 SIZES = (3, 4, 5)
@@ -193,4 +193,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
             keep = 1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold
             yield pa.RecordBatch.from_arrays(list(b.columns), names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

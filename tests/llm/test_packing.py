@@ -1,11 +1,12 @@
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from shardloom.llm import packing
+from shardloom.llm import packing, tokens
 from shardloom.llm.tokens import WordCache
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -65,3 +66,22 @@ def test_empty(spark):
 def test_powers():
     out = packing.powers([("a", 0, b"\0" * 4 * 21, 21)])
     assert [sum(len(p[2]) // 4 for p in w) for w in out] == [16, 4, 1]
+
+
+def test_a_cache_forgets_words_and_stays_right(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(tokens, "REMEMBER", 300)
+    monkeypatch.setattr(tokens, "KEEP", 60)
+    t, own = Tokenizer.from_file(PATH), WordCache(PATH)
+    first = "these words come first and are met again in every text"
+    for k in range(60):
+        texts = [first + " " + " ".join("".join(rng.choices("abcdef", k=6)) for _ in range(40 if k < 59 else 500)) for _ in range(2)]
+        assert own.encode_many(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+        assert set(first.split()) <= own.known.keys() and (k == 59 or len(own.known) <= 300)
+
+
+def test_the_memory_of_a_cache_is_bounded_on_a_large_vocabulary():
+    own = WordCache(PATH)
+    for i in range(0, 450_000, 5000):
+        own.encode(" ".join(f"{x:06d}".translate(str.maketrans("0123456789", "abcdefghij")) for x in range(i, i + 5000)))
+    assert sys.getsizeof(own.known) + sum(sys.getsizeof(w) + sys.getsizeof(b) for w, b in own.known.items()) < 45e6

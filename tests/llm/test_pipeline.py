@@ -1,6 +1,13 @@
+import os
 import random
+import time
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
+from shardloom.llm import toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -86,3 +93,29 @@ def test_each_stage_on_an_empty_table_and_on_rows_that_share_ids(spark, tmp_path
             pieces = got.collect()
             assert sorted({str(r.doc_id) for r in pieces}) == sorted({str(d) for d, _ in odd})
             assert sum(r.length for r in pieces if r.doc_id == 8) == 1  # a null text is its closing id
+
+
+def workers(spark):
+    """MB of their own memory of the Python workers that now serve, by process."""
+
+    def run(batches):
+        time.sleep(0.3)  # so that every worker gets a task
+        for _ in batches:
+            mb = int(Path("/proc/self/status").read_text().split("RssAnon:")[1].split()[0]) >> 10
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([mb])], names=["pid", "mb"])
+
+    return {r.pid: r.mb for r in spark.range(0, 8, 1, 8).mapInArrow(run, "pid long, mb long").collect()}
+
+
+def test_workers_give_back_the_memory_of_large_batches(spark, tmp_path):
+    rng = random.Random(2)
+    path, vocab = str(tmp_path), [words(rng, 1) for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(vocab, k=1200)), "en", "s", 0) for i in range(4000)]  # 29 MB
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/d")
+    docs = spark.read.parquet(f"{path}/d").coalesce(1)
+    before = workers(spark)
+    model = toxicity.Model(np.arange(0, 1 << toxicity.BITS, 50), np.full((1 << toxicity.BITS) // 50 + 1, -0.01), 0.0)
+    assert toxicity.drop_toxic(docs, model).count() == len(rows)
+    after = workers(spark)
+    new = max(before.values(), default=0)
+    assert max(mb - before.get(pid, new) for pid, mb in after.items()) < 16, (before, after)
